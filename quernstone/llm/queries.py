@@ -25,6 +25,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document through a content-addressed store and back."""
+    from .store import new_path, read_store, write_store
+
+    path = new_path(spark)
+    write_store(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer("byte_bpe_50k.json"), end_id=0)
+    return read_store(spark, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-tier token counts of every whole document."""
+    from .token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    counted = count_tokens(docs, tokenizer("byte_bpe_50k.json"), keep=("doc_id", "n_bytes"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op8_store": op8_store, "op10_token_counts": op10_token_counts}
 
 ORACLES: dict[str, str] = {}
