@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, url_filter
 from .common import table
 
 
@@ -25,6 +26,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence places and labels of every whole document by the positional rare-token index."""
+    from .licences import scan, summary
+
+    return summary(scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the learned decision list's verdict on every whole document."""
+    from .quality import COUNTS, judge
+
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wildcard automaton's verdict on every page's URL."""
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document through a content-addressed store and back."""
     from .store import new_path, read_store, write_store
@@ -34,6 +57,13 @@ def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of all sources and the words taken of every document."""
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-tier token counts of every whole document."""
     from .token_counts import count_tokens
@@ -43,6 +73,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op8_store": op8_store, "op10_token_counts": op10_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_licences": op2_licences,
+    "op3_quality": op3_quality,
+    "op7_url_filter": op7_url_filter,
+    "op8_store": op8_store,
+    "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_filter": url_filter.oracle(), "op9_mixing": mixing.ORACLE_MIX}
