@@ -8,6 +8,7 @@ space run could straddle such a border are cut into the pre-tokens themselves.
 from __future__ import annotations
 
 import re
+from functools import cache
 from itertools import chain
 
 from .bpe import WHITE
@@ -66,3 +67,15 @@ class UnitCache:
             for u, ids in zip(new[i : i + 8192], self.units.ids(new[i : i + 8192])):
                 self.cache.young[u] = self.value(ids)
         return self.cache.young
+
+
+@cache
+def worker_units(path: str) -> ByteUnits:
+    """The units of this worker process, for all its tasks."""
+    return ByteUnits(path)
+
+
+@cache
+def worker_cache(path: str, kept: int, value) -> UnitCache:
+    """The cache of this worker process; ``value`` is a function of a module, not of a task."""
+    return UnitCache(worker_units(path), kept, value)

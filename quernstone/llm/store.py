@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byteunits import ByteUnits, UnitCache
+from .byteunits import worker_cache, worker_units
 from .common import durable, quiet_worker, shared_dir, slices
 
 #: Ids in the rolling window (a power of two); a cut where the hash's top bits are all zero (one in 2**CUT_BITS); bounds of a chunk.
@@ -86,8 +86,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
     def work(batches):
         quiet_worker()
-        cache = UnitCache(units := ByteUnits(tokenizer_path), KEPT, lambda ids: np.array(ids, kind).tobytes())
-        end, width, seen = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize, set()
+        units, cache = worker_units(tokenizer_path), worker_cache(tokenizer_path, KEPT, as_two_bytes if kind.itemsize == 2 else as_four_bytes)
+        end, width, seen = np.array([end_id], kind).tobytes(), kind.itemsize, set()
         for batch in batches:
             for at, texts in slices(batch, 1):
                 cut = [units.of(t) for t in texts]
@@ -124,6 +124,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     return root.hex()
 
 
+def as_two_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u2").tobytes()
+
+
+def as_four_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder by the file system that it is on."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

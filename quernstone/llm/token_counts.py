@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byteunits import ByteUnits, UnitCache
+from .byteunits import ByteUnits, worker_cache, worker_units
 from .common import quiet_worker, slices
 
 #: Units in the broadcast table (under 1 MB), in a task's summary, and in a worker's cache.
@@ -34,7 +34,7 @@ def frequent_units(docs: DataFrame, tokenizer_path: str, text: str = "text", tab
 
     def count(batches):
         quiet_worker()
-        units, seen = ByteUnits(tokenizer_path), Counter()
+        units, seen = worker_units(tokenizer_path), Counter()
         for batch in batches:
             for _, texts in slices(batch, 0):
                 for t in texts:
@@ -72,8 +72,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", keep:
 
     def work(batches):
         quiet_worker()
-        units, first = ByteUnits(tokenizer_path), unpacked(tier_one.value)
-        second = UnitCache(units, KEPT, len)
+        units, first = worker_units(tokenizer_path), unpacked(tier_one.value)
+        second = worker_cache(tokenizer_path, KEPT, len)
         for batch in batches:
             for at, texts in slices(batch, n_keep):
                 totals, misses = [], []
