@@ -41,6 +41,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every whole document."""
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wildcard automaton's verdict on every page's URL."""
     from .url_filter import judge_urls
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licences": op2_licences,
     "op3_quality": op3_quality,
+    "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_store": op8_store,
     "op9_mixing": op9_mixing,
