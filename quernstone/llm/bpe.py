@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cache
 from itertools import chain
 
 import pyarrow as pa
@@ -27,8 +28,9 @@ from .common import Generations, quiet_worker, slices
 
 #: Words of more symbols than this do not enter the trie, whose paths stay short.
 LONG = 256
-#: Distinct new words in one trie; spellings that a worker keeps.
-TRIE_WORDS, KEPT = 20_000, 150_000
+#: Distinct new words in one trie; chunks and words that a worker keeps; characters and texts whose new words share a trie.
+TRIE_WORDS, KEPT, KEPT_WORDS = 60_000, 150_000, 150_000
+SLICE_CHARS, SLICE_ROWS = 6_000_000, 4_096
 
 #: White space of the Unicode property White_Space, as a regular-expression class.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -173,7 +175,7 @@ class WordEncoder:
         self.white, self.odd = regex.compile(f"[{WHITE}]+"), regex.compile("[\x1c-\x1f]")
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = byte_alphabet()
-        self.cache = Generations(kept)
+        self.cache, self.known_words = Generations(kept), Generations(KEPT_WORDS)
 
     def _chunks(self, text: str) -> list[str]:
         if self.odd.search(text):  # str.split() takes these for white space
@@ -184,7 +186,16 @@ class WordEncoder:
         """Composed, then lower-cased character by character: a final sigma has no form of its own."""
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str, tuple[int, ...]]]]:
+    def _add_words(self, words) -> None:
+        """Put the encodings of words that aren't known yet into the cache of words."""
+        kept, spelling, letters = self.known_words, self.spelling, self.letters
+        new = kept.missing(words)
+        for i in range(0, len(new), TRIE_WORDS):
+            spelled = {w.encode().decode("latin-1").translate(letters): w for w in new[i : i + TRIE_WORDS]}
+            for s, ids in self.merges.encode(list(spelled)).items():
+                kept.young[spelled[s]] = (len(ids), " ".join(map(str, ids)), " ".join([spelling[t] for t in ids]), ids)
+
+    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str, list[int]]]]:
         """For each text its chunks' encodings: number of ids, the ids and the tokens joined by one space, the ids."""
         split = []
         for t in texts:
@@ -193,18 +204,19 @@ class WordEncoder:
             else:
                 split.append(self._chunks(t))
         new = self.cache.missing(chain.from_iterable(split))
+        young, find = self.cache.young, self.words
         if new:
-            spelled, letters = {}, self.letters
-            for c in new:
-                if c not in self.special:
-                    spelled[c] = [w.encode().decode("latin-1").translate(letters) for w in self.words(self._normal(c))]
-            distinct, coded = list(set(chain.from_iterable(spelled.values()))), {}
-            for i in range(0, len(distinct), TRIE_WORDS):
-                coded |= self.merges.encode(distinct[i : i + TRIE_WORDS])
-            for c in new:
-                ids = (self.special[c],) if c in self.special else tuple(chain.from_iterable(coded[w] for w in spelled[c]))
-                self.cache.young[c] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.spelling.__getitem__, ids)), ids)
-        young = self.cache.young
+            parts = [(c, find(self._normal(c))) for c in new if c not in self.special]
+            self._add_words(chain.from_iterable(p for _, p in parts))
+            words = self.known_words.young
+            for c, p in parts:
+                if len(p) == 1:
+                    young[c] = words[p[0]]
+                else:
+                    counts, ids_text, decoded, ids = zip(*[words[w] for w in p])
+                    young[c] = (sum(counts), " ".join(ids_text), " ".join(decoded), list(chain.from_iterable(ids)))
+            for c in self.special.keys() & set(new):
+                young[c] = (1, str(self.special[c]), c, [self.special[c]])
         return [[young[c] for c in chunks] for chunks in split]
 
     def decode(self, ids) -> str:
@@ -212,6 +224,12 @@ class WordEncoder:
         return " ".join(self.spelling[i] for i in ids if i in self.spelling)
 
 
+@cache
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, with what it has learned in earlier tasks."""
+    return WordEncoder(path)
+
+
 OUTPUTS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "ids_text": ("string", pa.string()), "decoded": ("string", pa.string())}
 
 
@@ -226,9 +244,9 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: t
 
     def work(batches):
         quiet_worker()
-        encoder = WordEncoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         for batch in batches:
-            for at, texts in slices(batch, n_keep):
+            for at, texts in slices(batch, n_keep, SLICE_CHARS, SLICE_ROWS):
                 coded = encoder.encode(texts)
                 made = {
                     "n_tokens": lambda: [sum(c[0] for c in d) for d in coded],  # noqa: B023

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import mixing, topk, url_filter
 from .common import table
 
 
@@ -41,6 +41,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector by the Voronoi join."""
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every whole document."""
     from .simhash import near_duplicates
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licences": op2_licences,
     "op3_quality": op3_quality,
+    "op5_topk": op5_topk,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_store": op8_store,
@@ -92,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op7_url_filter": url_filter.oracle(), "op9_mixing": mixing.ORACLE_MIX}
+ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE_TOP_K, "op7_url_filter": url_filter.oracle(), "op9_mixing": mixing.ORACLE_MIX}
