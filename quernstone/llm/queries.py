@@ -41,6 +41,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent-network scores of every whole document."""
+    from .lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every 20th vector by the Voronoi join."""
     from .topk import top_k
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licences": op2_licences,
     "op3_quality": op3_quality,
+    "op4_lm": op4_lm,
     "op5_topk": op5_topk,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
