@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,10 +195,10 @@ class WordEncoder:
         for i in range(0, len(new), TRIE_WORDS):
             spelled = {w.encode().decode("latin-1").translate(letters): w for w in new[i : i + TRIE_WORDS]}
             for s, ids in self.merges.encode(list(spelled)).items():
-                kept.young[spelled[s]] = (len(ids), " ".join(map(str, ids)), " ".join([spelling[t] for t in ids]), ids)
+                kept.young[spelled[s]] = (len(ids), " ".join(map(str, ids)), " ".join([spelling[t] for t in ids]), array("i", ids).tobytes())
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str, list[int]]]]:
-        """For each text its chunks' encodings: number of ids, the ids and the tokens joined by one space, the ids."""
+    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str, bytes]]]:
+        """For each text its chunks' encodings: number of ids, the ids and the tokens joined by one space, the ids' 32-bit numbers."""
         split = []
         for t in texts:
             if self.at_special and any(s in t for s in self.special):
@@ -214,9 +216,9 @@ class WordEncoder:
                     young[c] = words[p[0]]
                 else:
                     counts, ids_text, decoded, ids = zip(*[words[w] for w in p])
-                    young[c] = (sum(counts), " ".join(ids_text), " ".join(decoded), list(chain.from_iterable(ids)))
+                    young[c] = (sum(counts), " ".join(ids_text), " ".join(decoded), b"".join(ids))
             for c in self.special.keys() & set(new):
-                young[c] = (1, str(self.special[c]), c, [self.special[c]])
+                young[c] = (1, str(self.special[c]), c, array("i", [self.special[c]]).tobytes())
         return [[young[c] for c in chunks] for chunks in split]
 
     def decode(self, ids) -> str:
@@ -230,6 +232,11 @@ def worker_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 OUTPUTS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "ids_text": ("string", pa.string()), "decoded": ("string", pa.string())}
 
 
@@ -250,11 +257,11 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: t
                 coded = encoder.encode(texts)
                 made = {
                     "n_tokens": lambda: [sum(c[0] for c in d) for d in coded],  # noqa: B023
-                    "ids": lambda: [list(chain.from_iterable(c[3] for c in d)) for d in coded],  # noqa: B023
+                    "ids": lambda: id_lists([b"".join([c[3] for c in d]) for d in coded]),  # noqa: B023
                     "ids_text": lambda: [" ".join([c[1] for c in d]) for d in coded],  # noqa: B023
                     "decoded": lambda: [" ".join([c[2] for c in d]) for d in coded],  # noqa: B023
                 }
                 rows = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:n_keep], *(pa.array(made[o](), OUTPUTS[o][1]) for o in outputs)], names=[*keep, *outputs])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:n_keep], *(made[o]() if o == "ids" else pa.array(made[o](), OUTPUTS[o][1]) for o in outputs)], names=[*keep, *outputs])
 
     return own.mapInArrow(work, schema)
