@@ -31,8 +31,8 @@ from .common import Generations, quiet_worker, slices
 #: Words of more symbols than this do not enter the trie, whose paths stay short.
 LONG = 256
 #: Distinct new words in one trie; chunks and words that a worker keeps; characters and texts whose new words share a trie.
-TRIE_WORDS, KEPT, KEPT_WORDS = 60_000, 150_000, 150_000
-SLICE_CHARS, SLICE_ROWS = 6_000_000, 4_096
+TRIE_WORDS, KEPT, KEPT_WORDS = 40_000, 120_000, 100_000
+SLICE_CHARS, SLICE_ROWS = 4_000_000, 4_096
 
 #: White space of the Unicode property White_Space, as a regular-expression class.
 WHITE = "\t-\r \x85\xa0  -     　"
