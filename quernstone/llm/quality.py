@@ -175,3 +175,14 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFram
     rules = learn(*labelled_sample(docs, labels, bound))
     out = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", as_column(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*[f for f in FEATURES if f not in COUNTS])
+
+
+def accepted(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps.
+
+    The filter also names a row number, which keeps the optimizer from substituting the whole conditional
+    expression, arrays and all, into a filter below the columns that it is made of.
+    """
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+    judged = judge(whole, labels, bound).select("kept", "whole_row", F.monotonically_increasing_id().alias("at"))
+    return judged.where(F.col("kept") & (F.col("at") >= 0)).select("whole_row.*")
