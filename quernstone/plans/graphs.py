@@ -1 +1,94 @@
-"""To come."""
+"""Components, leakage and splits (AL-01..11, AL-40)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.durable import durable
+from ..operators.graph import component_id, component_sizes, connected_components
+from ..operators.split import PARTITIONS, best_trial, trials
+from .identities import PART_OF, partition_of, with_cells
+from .registry import query
+from .roles import EV, PAIRS, PE, pair_evidence, positive_pairs, table
+
+#: Components by recursion over the edges that both sources report.
+CC = f"""{PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT a AS x, b AS y FROM pp WHERE in_a AND in_r UNION SELECT b, a FROM pp WHERE in_a AND in_r),
+w AS (SELECT 'P' || p_partkey AS node, 'P' || p_partkey AS rep FROM part UNION SELECT e.y, w.rep FROM w JOIN e ON w.node = e.x),
+cc AS (SELECT node, min(rep) AS representative FROM w GROUP BY node)"""
+
+
+def nodes(spark, d):
+    return table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node"))
+
+
+def components(spark, d):
+    return connected_components(nodes(spark, d), positive_pairs(spark, d).where("in_a and in_r").select("a", "b"))
+
+
+@query("al01_connected_components", f"{CC} SELECT node, representative FROM cc")
+def al01(spark, d):
+    return components(spark, d)
+
+
+@query("al02_component_ids", f"{CC} SELECT representative, 'component:' || substr(sha256(list_aggregate(list_sort(list(node)), 'string_agg', '|')), 1, 32) AS component_id, count(*) AS size FROM cc GROUP BY representative")
+def al02(spark, d):
+    return components(spark, d).groupBy("representative").agg(component_id(F.collect_list("node"), "component").alias("component_id"), F.count("*").alias("size"))
+
+
+@query("al03_sizes_at_thresholds")
+def al03(spark, d):
+    """Component counts and the largest size when edges need one, two or three reports."""
+    pairs = durable(positive_pairs(spark, d).where("in_a or in_r").select("a", "b", "n"))
+    out = None
+    for least in (3, 2):
+        s = component_sizes(connected_components(nodes(spark, d), pairs.where(F.col("n") >= least).select("a", "b")))
+        one = s.agg(F.lit(least).alias("least_reports"), F.count("*").alias("components"), F.max("size").alias("largest"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("al06_nested_graphs", f"WITH {EV}, {PE}, g1 AS (SELECT DISTINCT a, b FROM pe WHERE source = 'A'), g2 AS (SELECT DISTINCT a, b FROM pe WHERE source IN ('A', 'R')), g3 AS (SELECT DISTINCT a, b FROM pe) SELECT (SELECT count(*) FROM g1) AS accepted, (SELECT count(*) FROM g2) AS full_length, (SELECT count(*) FROM g3) AS local")
+def al06(spark, d):
+    g = pair_evidence(spark, d).groupBy("a", "b").agg(F.bool_or(F.col("source") == "A").alias("g1"), F.bool_or(F.col("source").isin("A", "R")).alias("g2"))
+    return g.agg(F.count_if("g1").alias("accepted"), F.count_if("g2").alias("full_length"), F.count("*").alias("local"))
+
+
+@query("al07_08_allocation_trials")
+def al07(spark, d):
+    sizes = [(r.p_brand, r.n) for r in table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).collect()]  # a row for each brand
+    return trials(spark, sizes, 1000)
+
+
+@query("al09_candidate_search")
+def al09(spark, d):
+    sizes = [(r.p_brand, r.n) for r in table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).collect()]
+    return best_trial(trials(spark, sizes, 4096, seed=9), sum(n for _, n in sizes))
+
+
+@query("al10_opportunity_counts", f"{PAIRS}, q AS (SELECT {PART_OF.format('a')} AS qa, {PART_OF.format('b')} AS qb FROM pp) SELECT count_if(qa = 'train' AND qb = 'train') AS c1, count_if((qa = 'train') <> (qb = 'train')) AS c2, count_if(qa <> 'train' AND qb = qa) AS c3 FROM q")
+def al10(spark, d):
+    q = with_cells(positive_pairs(spark, d))
+    a, b = F.col("qa") == "train", F.col("qb") == "train"
+    return q.agg(F.count_if(a & b).alias("c1"), F.count_if(a != b).alias("c2"), F.count_if(~a & (F.col("qa") == F.col("qb"))).alias("c3"))
+
+
+@query("al11_leakage", f"{CC} SELECT count(*) AS components, count_if(k > 1) AS leaking FROM (SELECT representative, count(DISTINCT {PART_OF.format('node')}) AS k FROM cc GROUP BY ALL)")
+def al11(spark, d):
+    c = components(spark, d).groupBy("representative").agg(F.count_distinct(partition_of(F.col("node"))).alias("k"))
+    return c.agg(F.count("*").alias("components"), F.count_if(F.col("k") > 1).alias("leaking"))
+
+
+@query("al40_within_components", f"{CC} SELECT count_if(x.representative = y.representative) AS within, count_if(x.representative <> y.representative) AS across FROM pp JOIN cc x ON a = x.node JOIN cc y ON b = y.node")
+def al40(spark, d):
+    c = durable(components(spark, d))
+    j = positive_pairs(spark, d).join(c.toDF("a", "ra"), "a").join(c.toDF("b", "rb"), "b")
+    return j.agg(F.count_if(F.col("ra") == F.col("rb")).alias("within"), F.count_if(F.col("ra") != F.col("rb")).alias("across"))
+
+
+@query("al41_claims", f"{PAIRS} SELECT CASE WHEN count(*) >= 1000 AND count_if(in_a AND in_r) >= 100 THEN 'supported' WHEN count(*) >= 1000 THEN 'limited' ELSE 'unsupported' END AS claim FROM pp")
+def al41(spark, d):
+    n, k = F.count("*"), F.count_if(F.col("in_a") & F.col("in_r"))
+    return positive_pairs(spark, d).agg(F.when((n >= 1000) & (k >= 100), "supported").when(n >= 1000, "limited").otherwise("unsupported").alias("claim"))
+
+
+PARTITION_NAMES = tuple(p for p, _ in PARTITIONS)
