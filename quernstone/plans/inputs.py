@@ -1 +1,77 @@
-"""To come."""
+"""Scans and sinks (SC-*, SK-*): the readers that the test tables can feed; the formats have their own tests."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.durable import shared_dir
+from ..sources import readers, sinks
+from .contracts import ORDERS
+from .registry import query
+from .roles import table
+
+
+def place(spark, name):
+    return f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
+
+
+@query("sc01_parquet_scan", "SELECT r_regionkey, r_name FROM region")
+def sc01(spark, d):
+    return spark.read.schema("r_regionkey int, r_name string").parquet(f"{d}/region.parquet")
+
+
+@query("sc02_file_list", "SELECT n_name AS name FROM nation UNION ALL SELECT n_name FROM nation")
+def sc02(spark, d):
+    return spark.read.parquet(f"{d}/nation.parquet", f"{d}/nation.parquet").select(F.col("n_name").alias("name"))
+
+
+@query("sc03_projection_and_pushdown", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 30")
+def sc03(spark, d):
+    return table(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "R") & (F.col("l_quantity") > 30)).select("l_orderkey", "l_quantity")
+
+
+@query("sc04_registered_rows", "SELECT code, n_name FROM (VALUES (1, 'one'), (2, 'two')) AS t(k, code) JOIN nation ON n_regionkey = k")
+def sc04(spark, d):
+    rows = spark.createDataFrame([(1, "one"), (2, "two")], "k int, code string")
+    return table(spark, d, "nation").join(F.broadcast(rows), F.col("n_regionkey") == F.col("k")).select("code", "n_name")
+
+
+@query("sc05_typed_tsv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def sc05(spark, d):
+    path = place(spark, "tsv")
+    table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.option("sep", "\t").option("quote", "").csv(path)
+    return readers.tsv(spark, path, "s_suppkey long, s_name string, s_acctbal double")
+
+
+@query("sc08_pair_list", "SELECT least(x, y) AS a, greatest(x, y) AS b, x = y AS self_pair, count(*) AS n FROM (SELECT CAST(l_partkey AS VARCHAR) AS x, CAST(l_suppkey AS VARCHAR) AS y FROM lineitem) GROUP BY ALL")
+def sc08(spark, d):
+    path = place(spark, "pairs")
+    table(spark, d, "lineitem").select(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).write.option("sep", "\t").csv(path)
+    return readers.pair_list(spark, path).groupBy("a", "b", "self_pair").agg((F.max("occurrence") + 1).cast("long").alias("n"))
+
+
+@query("sc11_fasta_round_trip", "SELECT CAST(p_partkey AS VARCHAR) AS header, repeat(upper(replace(p_name, ' ', '')), 9) AS sequence FROM part")
+def sc11(spark, d):
+    path = place(spark, "fasta")
+    records = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("header"), F.repeat(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), 9).alias("sequence"))
+    sinks.fasta_lines(records).write.text(path)
+    return readers.fasta(spark, path)
+
+
+@query("sk01_05_contract_publish", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def sk01(spark, d):
+    from dataclasses import replace
+
+    path = place(spark, "published")
+    loose = replace(ORDERS, vocabularies={}, key=("o_orderkey",))
+    sinks.publish(table(spark, d, "orders").drop("o_orderdate"), path, loose, order=["o_orderkey"])
+    return spark.read.parquet(path)
+
+
+@query("sk06_manifest_rows", "SELECT count(*) AS rows FROM customer")
+def sk06(spark, d):
+    path = place(spark, "manifest")
+    sinks.publish(table(spark, d, "customer"), path)
+    return spark.createDataFrame([(sinks.manifest(spark, path)["rows"],)], "rows long")
