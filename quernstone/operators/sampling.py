@@ -58,7 +58,8 @@ def bottom_hash_sample(rows: DataFrame, sizes: DataFrame, stratum: str, key: str
     lead = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(2**32)
     cut = F.least(F.lit(1.0), 1.3 * F.col("sample_size") / F.col("population") + 8 * F.sqrt(F.col("sample_size") + 1) / F.col("population"))
     near = rows.join(F.broadcast(sizes.withColumn("__cut", cut)), stratum)
-    short = near.where(lead <= F.col("__cut")).groupBy(stratum, "sample_size").agg(F.count("*").alias("n")).where("n < sample_size").select(stratum, F.lit(True).alias("__whole"))
+    held = near.where(lead <= F.col("__cut")).groupBy(stratum).agg(F.count("*").alias("__held"))
+    short = sizes.join(held, stratum, "left").where(F.coalesce("__held", F.lit(0)) < F.col("sample_size")).select(stratum, F.lit(True).alias("__whole"))
     kept = near.join(F.broadcast(short), stratum, "left").where((lead <= F.col("__cut")) | F.col("__whole"))
     ranked = kept.withColumn("sample_rank", F.row_number().over(W.partitionBy(stratum).orderBy(key, *ties)))
     return ranked.where(F.col("sample_rank") <= F.col("sample_size")).drop("__cut", "__whole")
