@@ -131,7 +131,7 @@ def prune(rule: list, x: np.ndarray, bad: np.ndarray) -> list:
 
 def learn(rows: list[tuple[float, ...]], bad: list[bool]) -> list[list[tuple[int, str, float]]]:
     """The decision list, most trusted rule first as found; every third row prunes."""
-    x, y, rules = np.array(rows, float).reshape(len(rows), -1), np.array(bad, bool), []
+    x, y, rules = np.array(rows, float).reshape(len(rows), len(FEATURES)), np.array(bad, bool), []
     third = np.arange(len(x)) % 3 == 2
     while len(rules) < RULES and y[~third].sum() >= SUPPORT[0] and (~y).any():
         rule = grow(x[~third], y[~third])
