@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import degree_summary, nearest_rank
 from .registry import query
-from .roles import BIN, DG, EV, GRAPH, PAIRS, PE, degrees, evidence, pair_evidence, positive_pairs, table
+from .roles import BIN, EV, GRAPH, PAIRS, PE, degrees, pair_evidence, positive_pairs, table
 
 COUNTERS = {"lines": "true", "active": "l_returnflag = 'A'", "returned": "l_returnflag = 'R'", "open_lines": "l_linestatus = 'O'", "bulk": "l_quantity > 40", "discounted": "l_discount > 0.05", "taxed": "l_tax > 0.04", "late": "l_shipdate >= TIMESTAMP '1997-01-01'", "dear": "l_extendedprice > 50000"}
 
@@ -132,7 +132,7 @@ def ag28(spark, d):
     return degree_summary(degrees(positive_pairs(spark, d)))
 
 
-@query("ag30_histogram", f"{GRAPH}, f AS (SELECT coalesce(degree, 0) AS g FROM part LEFT JOIN dg ON node = 'P' || p_partkey) SELECT to_json({{'0': count_if(g = 0), '1': count_if(g = 1), '2': count_if(g = 2), '3-4': count_if(g BETWEEN 3 AND 4), '5-9': count_if(g BETWEEN 5 AND 9), '10-19': count_if(g BETWEEN 10 AND 19), '20-49': count_if(g BETWEEN 20 AND 49), '50-99': count_if(g BETWEEN 50 AND 99), '100+': count_if(g >= 100)}}) AS histogram FROM f")
+@query("ag30_histogram", f"{GRAPH}, f AS (SELECT coalesce(degree, 0) AS g FROM part LEFT JOIN dg ON node = 'P' || p_partkey) SELECT CAST(to_json({{'0': count_if(g = 0), '1': count_if(g = 1), '2': count_if(g = 2), '3-4': count_if(g BETWEEN 3 AND 4), '5-9': count_if(g BETWEEN 5 AND 9), '10-19': count_if(g BETWEEN 10 AND 19), '20-49': count_if(g BETWEEN 20 AND 49), '50-99': count_if(g BETWEEN 50 AND 99), '100+': count_if(g >= 100)}}) AS VARCHAR) AS histogram FROM f")
 def ag30(spark, d):
     from ..functions.identity import DEGREE_BINS, degree_bin
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as X
 from .registry import query
-from .roles import BIN, DG, EV, GRAPH, PAIRS, PD, STRATUM, degrees, evidence, positive_pairs, table, with_degrees
+from .roles import BIN, EV, GRAPH, PAIRS, PD, STRATUM, degrees, evidence, positive_pairs, table, with_degrees
 
 CNT = "SELECT {0}, count(*) AS n FROM {1} GROUP BY ALL"
 
@@ -269,7 +269,7 @@ def fn07(spark, d):
     return table(spark, d, "events").select("event_id", F.size(F.split("props", ",")).alias("mentions"), X.safe_number(F.col("event_type")).alias("number"), F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("fn10_11_json", "SELECT n_nationkey, to_json({'a': n_name, 'b': nullif(n_regionkey, 1)}) AS j FROM nation")
+@query("fn10_11_json", "SELECT n_nationkey, CAST(to_json({'a': n_name, 'b': nullif(n_regionkey, 1)}) AS VARCHAR) AS j FROM nation")
 def fn10(spark, d):
     return table(spark, d, "nation").select("n_nationkey", X.canonical_json(F.col("n_name").alias("a"), F.nullif(F.col("n_regionkey"), F.lit(1)).alias("b")).alias("j"))
 
