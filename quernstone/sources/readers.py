@@ -72,7 +72,7 @@ def flat_file(spark: SparkSession, path: str) -> DataFrame:
     sequence = F.translate(F.regexp_extract("value", r"(?s)\nSQ [^\n]*\n(.*)$", 1), " \n/", "")
     declared = F.regexp_extract("value", r"(?m)^ID .*?(\d+) AA", 1).try_cast("int")
     out = record.select(
-        F.filter(F.transform(F.split(F.array_join(lines("AC"), ""), ";"), F.trim), lambda x: x != "").alias("accessions"),
+        F.filter(F.transform(F.split(F.array_join(lines("AC"), ""), ";"), lambda x: F.trim(x)), lambda x: x != "").alias("accessions"),
         F.regexp_extract_all(F.array_join(lines("GN"), " "), F.lit(r"Name=([^;{ ]+)"), F.lit(1)).alias("gene_names"),
         F.regexp_extract("value", r"entry version (\d+)", 1).try_cast("int").alias("entry_version"),
         F.regexp_extract("value", r"sequence version (\d+)", 1).try_cast("int").alias("sequence_version"), declared.alias("declared"), sequence.alias("sequence"),
