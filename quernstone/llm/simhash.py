@@ -196,7 +196,8 @@ def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = durable(near_duplicates(docs, text), "components")
     stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     stay = durable(stay, "stay").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
-    once = docs.join(stay.where("__n = 1"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    # Merged at every size: small tables then move their texts as large ones do, and no list of ids is broadcast.
+    once = docs.join(stay.where("__n = 1").hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     repeated = stay.where("__n > 1")
     if repeated.isEmpty():
         return once
