@@ -86,7 +86,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
     def work(batches):
         quiet_worker()
-        units, cache = worker_units(tokenizer_path), worker_cache(tokenizer_path, KEPT, as_two_bytes if kind.itemsize == 2 else as_four_bytes)
+        units, cache = worker_units(tokenizer_path), worker_cache(tokenizer_path, KEPT, kind.str)
         end, width, seen = np.array([end_id], kind).tobytes(), kind.itemsize, set()
         for batch in batches:
             for at, texts in slices(batch, 1):
@@ -124,14 +124,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     return root.hex()
 
 
-def as_two_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u2").tobytes()
-
-
-def as_four_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder by the file system that it is on."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -174,10 +166,14 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """The documents in the store, checked: row, doc_id, start, n_tokens, ids_crc32, and ids (array<int>) if asked for.
 
-    A chunk whose bytes don't give its digest, or a recipe whose digests don't give its root, fails the job.
+    A chunk whose bytes don't give its digest, a recipe whose digests don't give its root, or recipes that
+    don't give the manifest's root fail the job.
     Without ids only a checksum of each chunk travels; those of a document's chunks combine to the document's.
     """
-    width = manifest(spark, path)["id_bytes"]
+    note = manifest(spark, path)
+    if merkle(recipe_leaves(spark, path)).hex() != note["root"]:
+        raise ValueError("the recipes aren't those of the manifest")
+    width = note["id_bytes"]
     facts_schema = "digest binary, n int, crc long" + (", payload binary" if ids else "")
 
     def check(batches):

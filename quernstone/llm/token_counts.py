@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .byteunits import ByteUnits, worker_cache, worker_units
 from .common import quiet_worker, slices
 
-#: Units in the broadcast table (under 1 MB), in a task's summary, and in a worker's cache.
-TABLE, SUMMARY, KEPT = 32_768, 4_096, 200_000
+#: Units in the broadcast table and their longest spelling in characters, units in a task's summary and in a worker's cache.
+TABLE, SPELLING, SUMMARY, KEPT = 32_768, 64, 4_096, 200_000
 
 
 def frequent_units(docs: DataFrame, tokenizer_path: str, text: str = "text", table: int = TABLE, summary: int = SUMMARY) -> list[str]:
@@ -38,7 +38,7 @@ def frequent_units(docs: DataFrame, tokenizer_path: str, text: str = "text", tab
         for batch in batches:
             for _, texts in slices(batch, 0):
                 for t in texts:
-                    seen.update(u for u in units.of(t) if type(u) is str)
+                    seen.update(u for u in units.of(t) if type(u) is str and len(u) <= SPELLING)
                     if len(seen) > 16 * summary:
                         seen = Counter(dict(seen.most_common(8 * summary)))
         top = seen.most_common(summary)
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", keep:
     def work(batches):
         quiet_worker()
         units, first = worker_units(tokenizer_path), unpacked(tier_one.value)
-        second = worker_cache(tokenizer_path, KEPT, len)
+        second = worker_cache(tokenizer_path, KEPT)
         for batch in batches:
             for at, texts in slices(batch, n_keep):
                 totals, misses = [], []
