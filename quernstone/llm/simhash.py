@@ -191,17 +191,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_roots(rows: DataFrame, text: str) -> DataFrame:
+    """row and root of every row: rows of one root are linked by fingerprints at most APART bits apart."""
+    fps = durable(fingerprints(rows, text, "__row"), "fingerprints").withColumnRenamed("doc_id", "row")
+    roots = components(links(durable(fps.select("fp").distinct(), "points"))).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
+
+
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the component's least doc_id, of several such rows the one of the least hash."""
-    marked = durable(near_duplicates(docs, text), "components")
-    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = durable(stay, "stay").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
-    # Merged at every size: small tables then move their texts as large ones do, and no list of ids is broadcast.
-    once = docs.join(stay.where("__n = 1").hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    repeated = stay.where("__n > 1")
-    if repeated.isEmpty():
-        return once
-    # Rows that share the id that stays: exact rows of it are few, and one of each id is chosen by a partial aggregate.
-    rows = docs.join(repeated, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").withColumn("__row", F.struct(*docs.columns))
-    chosen = rows.groupBy("doc_id").agg(F.min_by("__row", F.xxhash64(*docs.columns)).alias("r")).select("r.*")
-    return once.unionByName(chosen)
+    """docs with one row of each component: one of the least doc_id (nulls last), whatever ids other rows share with it."""
+    number = F.col("doc_id").cast("long")
+    # Numbers of rows that are computed anew may change with the splits of the files: they are written with the rows.
+    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__late": number.isNull(), "__id": F.coalesce(number, F.lit(0).cast("long"))})
+    rows = durable(rows, "numbered")
+    roots = fingerprint_roots(rows, text)
+    first = F.min(F.struct("__late", "__id", "__row")).alias("first")
+    stay = rows.select("__row", "__late", "__id").join(roots, F.col("__row") == F.col("row")).groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))
+    # Merged at every size: small tables then move their texts as large ones do, and no list of rows is broadcast.
+    return rows.join(durable(stay, "stay").hint("merge"), "__row", "left_semi").select(*docs.columns)

@@ -243,6 +243,15 @@ def test_simhash(spark, docs, empty):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(c or 0 for c in groups)
 
 
+def test_kept_rows_by_component_not_id(spark):
+    """Null and repeated ids: each component keeps one row, whatever ids its rows share with others."""
+    rng = np.random.default_rng(12)
+    a, b, *clean = [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(80)) for _ in range(8)]
+    data = [(3, a), (5, a), (5, b), *((None, x) for x in clean), (None, clean[0]), (7, clean[1])]
+    got = simhash.kept_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(3, a), (5, b), (None, clean[0]), (7, clean[1]), *((None, x) for x in clean[2:])])
+
+
 def test_simhash_full_cells(spark):
     """A group whose cells are too full to be paired keeps all its links, and chains stay chains."""
     rng = np.random.default_rng(8)
