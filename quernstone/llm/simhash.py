@@ -13,10 +13,17 @@ apart meet again, and links each to the least one there. Components are the same
 Defined cases: a null text or one without words has fingerprint zero, linked like any other; fewer than three
 words are one shingle; repeated doc_ids keep a row each; null ids count as larger than any other;
 an empty table gives an empty table.
+
+``kept_documents`` takes other links too: a share of common shingles (Jaccard similarity of the sets of distinct
+shingles). Such copies are too many bits apart for a grid, so candidates come from ``BANDS`` bands of ``BAND`` least
+hashes each; a pair of similarity 0.8 meets in none of them with a probability of 5e-8, and more similar ones with less.
+Each candidate pair is verified on the whole sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +35,8 @@ from .common import durable, slices
 APART, SHINGLE, SEED = 2, 3, 42
 SEGMENTS, HEAVY = 32, 32
 BITS = 64 // SEGMENTS
+#: Bands of least hashes and hashes in a band; members of a bucket that are compared with every later one; bits of the pattern of rows to read.
+BANDS, BAND, FULL, FILTER = 32, 4, 256, 2**26
 
 
 def fingerprints_of(texts: list[str]) -> np.ndarray:
@@ -191,6 +200,142 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; fewer words than a shingle has are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words, out = text.encode().lower().split(), np.zeros(0, np.uint64)
+    for at in range(0, max(len(words) - shingle + 1, 1) if words else 0, 100_000):
+        run = words[at : at + 100_000 + shingle - 1]
+        shingles = map(b" ".join, zip(*(run[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+        out = np.union1d(out, np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+    return out
+
+
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its number and its least hashes. Empty sets have no band."""
+    if not len(members):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(SEED)
+    flip, times = rng.integers(0, 2**64, BANDS * BAND, np.uint64), rng.integers(0, 2**63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(members), 2048):
+        h = (members[at : at + 2048, None] ^ flip) * times
+        least = np.minimum(least, ((h ^ (h >> np.uint64(32))) * times).min(axis=0))
+    mixed = (least.reshape(BANDS, BAND) * rng.integers(0, 2**63, BAND, np.uint64)).sum(axis=1, dtype=np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(29))) * times[:BANDS] + flip[:BANDS]).view(np.int64)
+
+
+def lists(arrays):
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def shingle_bands(rows: DataFrame, text: str, shingle: int) -> DataFrame:
+    """row, digest of the set of shingles and band keys of rows with __row."""
+
+    def work(batches):
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            for at, texts in slices(batch, 1):
+                sets = [shingle_set(t, shingle) for t in texts]
+                digests = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), digests, lists([band_keys(s) for s in sets])], names=["row", "digest", "bands"])
+
+    return rows.select("__row", F.col(text).cast("string").alias("text")).mapInArrow(work, "row long, digest binary, bands array<long>")
+
+
+def shingle_sets(rows: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """row and members (the set of shingles) of the rows in wanted.
+
+    A bit pattern of FILTER bits at most tells which texts are read, so texts don't travel; the join takes out those that only share a bit.
+    """
+    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER))
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(row), {FILTER}) % 64 as int))")).alias("bits")).toArrow()
+    pattern = np.zeros(FILTER // 64, np.int64)
+    pattern[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(pattern.tobytes())
+
+    def work(batches):
+        bits = np.frombuffer(sent.value, np.uint64)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            for at, texts in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists([shingle_set(t, shingle).view(np.int64) for t in texts])], names=["row", "members"])
+
+    read = rows.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text")).withColumn("bit", bit)
+    return read.mapInArrow(work, "row long, members array<long>").join(wanted, "row", "left_semi")
+
+
+def bucket_links(similarity: float):
+    """Rows (bucket, row, members) sorted by bucket and rank -> verified edges (a, b).
+
+    A point meets all points before it that aren't linked to it yet; behind the first FULL of a bucket, those that have no link
+    to an earlier one. The first point of a component is such a point, so the first points of two components are never similar.
+    """
+    share = Fraction(str(similarity))
+
+    def similar(x, y):
+        if min(len(x), len(y)) * share.denominator < max(len(x), len(y)) * share.numerator:
+            return False
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common * share.denominator >= (len(x) + len(y) - common) * share.numerator
+
+    def work(batches):
+        bucket, held, group, size = None, [], {}, 0  # held: row, set, stands without a link to an earlier one
+        for batch in batches:
+            buckets, numbers, offsets, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            a, b = [], []
+            for i, (c, row) in enumerate(zip(buckets, numbers)):
+                if c != bucket:
+                    bucket, held, group, size = c, [], {}, 0
+                if size == FULL:
+                    held = [h for h in held if h[2]]
+                x, linked = values[offsets[i] : offsets[i + 1]], False
+                group[row] = {row}
+                for other, y, _ in held:
+                    if other not in group[row] and similar(x, y):
+                        linked = True
+                        a.append(other)
+                        b.append(row)
+                        if size < FULL:
+                            joined = group[row] | group[other]
+                            group.update(dict.fromkeys(joined, joined))
+                size += 1
+                if size <= FULL:
+                    held.append((row, x.copy(), not linked))
+                else:
+                    del group[row]
+                    if not linked:
+                        held.append((row, x.copy(), True))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return work
+
+
+def similar_roots(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """row and root of every row: rows of one root are linked by Jaccard similarities of at least that much. rows: __row, __late, __id."""
+    banded = durable(shingle_bands(rows, text, shingle), "shingle-bands")
+    ranks = rows.select(F.col("__row").alias("row"), F.struct(F.col("__late").alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row")).alias("rank"))
+    # Equal sets are one point, known by its first row.
+    points = banded.join(ranks, "row").groupBy("digest").agg(F.min("rank").alias("rank"), F.any_value("bands").alias("bands"))
+    points = durable(points, "shingle-points").withColumn("row", F.col("rank.row"))
+    filed = points.select("row", F.explode("bands").alias("bucket"))
+    # Buckets with the same members are one.
+    met = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"))
+    met = durable(met.where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    asked = durable(filed.join(met, "bucket").select("bucket", "row"), "bucket-members")
+    wanted = durable(asked.select("row").distinct(), "wanted")
+    sets = durable(shingle_sets(rows, text, shingle, wanted).join(points.select("row", "rank"), "row"), "shingle-sets")
+    full = asked.join(sets, "row").repartition("bucket").sortWithinPartitions("bucket", "rank").select("bucket", "row", "members")
+    edges = durable(full.mapInArrow(bucket_links(similarity), "a long, b long"), "shingle-links")
+    roots = components(edges)
+    roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
+    point = points.select("digest", F.col("row").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return banded.select("row", "digest").join(point, "digest").select("row", "root")
+
+
 def fingerprint_roots(rows: DataFrame, text: str) -> DataFrame:
     """row and root of every row: rows of one root are linked by fingerprints at most APART bits apart."""
     fps = durable(fingerprints(rows, text, "__row"), "fingerprints").withColumnRenamed("doc_id", "row")
@@ -198,13 +343,18 @@ def fingerprint_roots(rows: DataFrame, text: str) -> DataFrame:
     return fps.join(roots, "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
 
 
-def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one row of each component: one of the least doc_id (nulls last), whatever ids other rows share with it."""
+def kept_documents(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component: one of the least doc_id (nulls last), whatever ids other rows share with it.
+
+    Links are fingerprints at most APART bits apart; with a similarity, Jaccard similarities of sets of shingles of so many words.
+    """
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("fingerprints have shingles of a fixed length")
     number = F.col("doc_id").cast("long")
     # Numbers of rows that are computed anew may change with the splits of the files: they are written with the rows.
     rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__late": number.isNull(), "__id": F.coalesce(number, F.lit(0).cast("long"))})
     rows = durable(rows, "numbered")
-    roots = fingerprint_roots(rows, text)
+    roots = fingerprint_roots(rows, text) if similarity is None else similar_roots(rows, text, shingle, similarity)
     first = F.min(F.struct("__late", "__id", "__row")).alias("first")
     stay = rows.select("__row", "__late", "__id").join(roots, F.col("__row") == F.col("row")).groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))
     # Merged at every size: small tables then move their texts as large ones do, and no list of rows is broadcast.

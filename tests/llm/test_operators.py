@@ -252,6 +252,52 @@ def test_kept_rows_by_component_not_id(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(3, a), (5, b), (None, clean[0]), (7, clean[1]), *((None, x) for x in clean[2:])])
 
 
+def test_near_copies_by_shingles(spark, monkeypatch):
+    """Near copies of five-word similarity 0.8 or more go, less similar ones stay; the same in buckets fuller than FULL."""
+    rng = np.random.default_rng(13)
+
+    def jaccard(x, y):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    data, apart = [(900, None), (901, " "), (902, "a b"), (903, "A  b")], 0
+    for k in range(12):
+        words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200)]
+        data.append((k, " ".join(words)))
+        for j, edits in enumerate((1, 2, 3, 3, 4, 5, 6, 12)):
+            other = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                other[at] = "changed"
+            data.append((None if j == 1 else 20 * (j + 1) + k, " ".join(other)))
+            apart += jaccard(data[-1][1], " ".join(words)) >= 0.8 and (plain_fingerprint(data[-1][1]) ^ plain_fingerprint(" ".join(words))).bit_count() > 2
+    assert apart > 20
+    texts = [x or "" for _, x in data]
+    parent = list(range(len(data)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if jaccard(texts[i].lower(), texts[j].lower()) >= 0.8:
+                parent[top(i)] = top(j)
+    want = {}
+    for i, (d, _) in enumerate(data):
+        want[top(i)] = min(want.get(top(i), 10**6), 10**6 if d is None else d)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = simhash.kept_documents(df, shingle=5, similarity=0.8)
+    assert sorted(10**6 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(want.values())
+    # A full bucket compares with unlinked points only: still no two texts that stay are similar.
+    rows = [("c", i, simhash.shingle_set(x, 5).view(np.int64).tolist()) for i, x in enumerate(t for t in texts if len(t.split()) > 5)]
+    monkeypatch.setattr(simhash, "FULL", 4)
+    batch = simhash.pa.RecordBatch.from_arrays([simhash.pa.array(v) for v in zip(*rows)], names=["bucket", "row", "members"])
+    gone = {b for r in simhash.bucket_links(0.8)([batch]) for b in r.column(1).to_pylist()}
+    left = [x for i, x in enumerate(t for t in texts if len(t.split()) > 5) if i not in gone]
+    assert 12 <= len(left) < len(rows) and all(jaccard(x, y) < 0.8 for k, x in enumerate(left) for y in left[:k])
+
+
 def test_simhash_full_cells(spark):
     """A group whose cells are too full to be paired keeps all its links, and chains stay chains."""
     rng = np.random.default_rng(8)
