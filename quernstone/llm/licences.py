@@ -1,10 +1,10 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
 The index holds templates: short passages of licence texts with the phrases that must stand in them. Each
-template is posted under its words of the highest inverse document frequency in the corpus, with their
-positions. A file looks up its rare licence words; a posting gives the place where the template would begin,
-the template's other rare words must stand at the same relative positions, and then its
-mandatory phrases are verified word by word. A template is found wherever its rarest word is, so no place is lost.
+template is posted, with its position, under the word of its mandatory phrases of the highest inverse document
+frequency in the corpus. A file looks up its rare licence words; a posting gives the place where the template would
+begin, and its mandatory phrases are verified word by word. A place has all words of the phrases, so it has the one that
+is posted: no place is lost, whatever other words of the passage are altered, cut off or found nowhere in the corpus.
 
 Defined cases: a null or empty text has no word, no place, empty labels and score 0; places may overlap and
 each counts; repeated rows each keep their result; an empty table gives an empty table; texts are
@@ -46,9 +46,6 @@ TEMPLATES = (
     ("proprietary", "all rights reserved", ("all rights reserved",)),
 )
 
-#: Words that a template is posted under, and how many of them must agree on where it begins.
-RARE, AGREE = 3, 2
-
 
 def templates() -> list[dict]:
     out = [{"label": label, "base": True, "words": phrase.split(), "keys": [phrase.split()]} for label, phrase in BASE]
@@ -73,18 +70,14 @@ def index(idf: dict[str, float]) -> tuple[Column, list[str]]:
     """The templates as one literal array of postings, and the words that they are anchored at."""
     rows, anchors = [], set()
     for t in templates():
-        first = {}
-        for i, w in enumerate(t["words"]):
-            first.setdefault(w, i)
-        rare = sorted(first, key=lambda w: (-idf[w], first[w]))[:RARE]
-        anchors.add(rare[0])
         starts = [next(i for i in range(len(t["words"])) if t["words"][i : i + len(k)] == k) for k in t["keys"]]
+        at, anchor = max(((s + i, w) for s, k in zip(starts, t["keys"]) for i, w in enumerate(k)), key=lambda x: (idf[x[1]], -x[0]))
+        anchors.add(anchor)
         keys = [F.struct(F.lit(s).alias("at"), F.array(*map(F.lit, k)).alias("words")) for s, k in zip(starts, t["keys"])]
         rows.append(F.struct(
             F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base"), F.array(*map(F.lit, t["words"])).alias("words"),
             F.array(*(F.lit(idf[w]) for w in t["words"])).alias("weights"), F.lit(sum(idf[w] for w in t["words"])).alias("total"),
-            F.lit(rare[0]).alias("anchor"), F.lit(first[rare[0]]).alias("anchor_at"), F.lit(min(AGREE, len(rare))).alias("agree"),
-            F.array(*(F.struct(F.lit(first[w]).alias("at"), F.lit(w).alias("word")) for w in rare)).alias("rare"), F.array(*keys).alias("keys"),
+            F.lit(anchor).alias("anchor"), F.lit(at).alias("anchor_at"), F.lit(at - min(starts)).alias("least_at"), F.array(*keys).alias("keys"),
         ))
     return F.array(*rows), sorted(anchors)
 
@@ -92,7 +85,8 @@ def index(idf: dict[str, float]) -> tuple[Column, list[str]]:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words and matches: array<struct<label, base, start, n_words, score>>, one for each place of a template.
 
-    score is the share of the template's rarity that stands at its place.
+    score is the share of the template's rarity that stands at its place. A place whose first words are cut off before the
+    mandatory phrases starts below 0.
     """
     idf = word_rarity(docs, sorted({w for t in templates() for w in t["words"]}), text)
     postings, anchors = index(idf)
@@ -100,15 +94,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.col("__words")
     df = df.withColumn("__at", F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(anchors), i))))
     candidates = F.flatten(F.transform("__at", lambda p: F.transform(
-        F.filter(postings, lambda t: (t["anchor"] == F.get(words, p)) & (p >= t["anchor_at"])),
+        F.filter(postings, lambda t: (t["anchor"] == F.get(words, p)) & (p >= t["least_at"])),
         lambda t: F.struct((p - t["anchor_at"]).alias("start"), t.alias("t")))))
     df = df.withColumn("__candidates", F.when(F.size("__at") > 0, candidates))
 
     def stands(c: Column) -> Column:
         t, s = c["t"], c["start"]
-        agreeing = F.size(F.filter(t["rare"], lambda r: F.get(words, s + r["at"]) == r["word"]))
-        phrases = F.forall(t["keys"], lambda k: F.slice(words, s + k["at"] + 1, F.size(k["words"])) == k["words"])
-        return (agreeing >= t["agree"]) & phrases
+        return F.forall(t["keys"], lambda k: F.slice(words, s + k["at"] + 1, F.size(k["words"])) == k["words"])
 
     def described(c: Column) -> Column:
         t, s = c["t"], c["start"]

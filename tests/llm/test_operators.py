@@ -146,6 +146,13 @@ def test_licences(spark, docs, empty):
     assert licences.summary(licences.scan(empty.select("doc_id", "text"))).collect() == []
 
 
+def test_licences_by_mandatory_phrases(spark):
+    """The mandatory phrases decide, whatever other words of the passage stand in the text or in the corpus."""
+    texts = ["see the GNU General Public License for details", "GNU General Public License", "under the terms of the gnu general public licence", "the software is provided as is, without warranty", "permission was hereby granted free of charge to all"]
+    got = licences.summary(licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.labels for r in got} == {0: "gpl", 1: "gpl", 2: "", 3: "mit", 4: "mit"}
+
+
 def test_lm_base_scores_and_learning(spark, docs, empty):
     got = lm_score.score_documents(docs).collect()
     token = lambda x: WORD.findall((x or "").translate(LOW)) + [""]
