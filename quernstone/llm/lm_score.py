@@ -5,7 +5,7 @@ other word belongs to one of ``BUCKETS`` outputs by its last two bytes, and has
 bucket's counts, so that any text, unseen words included, has a probability. The network is trained in
 ``ROUNDS`` rounds: each task starts from the round's weights, reads its documents by truncated backpropagation, and the
 tasks' weights are averaged by tokens. Rounds read disjoint hash shares of the training documents, 1 of
-``SHARE`` each at any size; what a step costs sets the share, and counts have none.
+``SHARE`` each, and together all of them.
 
 Counts of frequent words are broadcast (``TIER`` words at most); only rarer words travel, once for each document, to
 meet their counts, so no word is hot in that join.
@@ -31,8 +31,8 @@ from .common import SPACES, durable, lower_ascii, quiet_worker, slices
 
 #: Words that are outputs of their own (with the end), bucket outputs, words with broadcast counts and their longest spelling in bytes.
 OUTPUTS, BUCKETS, TIER, SPELLING = 1024, 64, 131_072, 64
-#: Rounds of training, and the share of the training documents that one round reads.
-ROUNDS, SHARE = 2, 8
+#: Rounds of training, and the share of the training documents that one round reads: all are read once.
+ROUNDS = SHARE = 2
 SLICE_CHARS, SLICE_ROWS = 12_000_000, 6_000
 
 

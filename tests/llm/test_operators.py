@@ -171,6 +171,20 @@ def test_lm_base_scores_and_learning(spark, docs, empty):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.3 * len(out)  # which of two languages a text is in is learned
 
 
+def test_lm_training_reads_every_share(spark):
+    """Training documents of any hash share move the weights."""
+    import uuid
+
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("lm-train")), F.lit(8))
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x y z " * 20).alias("text")).withColumn("turn", turn)
+    counts = lm_score.durable(lm_score.word_counts(df), "lm-counts")
+    shared, vocabulary = lm_score.gather(df, counts, uuid.uuid4().hex)
+    start = lm_score.R.flat(lm_score.R.start(vocabulary.frequencies))
+    for k in range(8):
+        one = df.where(F.col("turn") == k)
+        assert one.count() and not np.array_equal(lm_score.R.flat(lm_score.train(one, shared, vocabulary)), start), k
+
+
 def test_recurrent_gradients():
     from quernstone.llm import recurrent as R
 
