@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from ..operators.graph import component_id, component_sizes, connected_components
+from ..operators.graph import component_id, component_sizes, connected_components, nearest_rank
 from ..operators.split import PARTITIONS, best_trial, trials
 from .identities import PART_OF, partition_of, with_cells
 from .registry import query
@@ -37,12 +37,12 @@ def al02(spark, d):
 
 @query("al03_sizes_at_thresholds")
 def al03(spark, d):
-    """Component counts and the largest size when edges need one, two or three reports."""
-    pairs = durable(positive_pairs(spark, d).where("in_a or in_r").select("a", "b", "n"))
+    """Component counts, quantiles of the sizes and the largest size when edges need one, two or three reports."""
+    pairs = durable(positive_pairs(spark, d).select("a", "b", "n"))
     out = None
-    for least in (3, 2):
+    for least in (3, 2, 1):
         s = component_sizes(connected_components(nodes(spark, d), pairs.where(F.col("n") >= least).select("a", "b")))
-        one = s.agg(F.lit(least).alias("least_reports"), F.count("*").alias("components"), F.max("size").alias("largest"))
+        one = s.agg(F.lit(least).alias("least_reports"), F.count("*").alias("components"), F.max("size").alias("largest"), *[nearest_rank("size", q).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75, 0.99)])
         out = one if out is None else out.union(one)
     return out
 

@@ -90,6 +90,33 @@ def test_components(spark):
     assert {r.representative for r in connected_components(chain.select(F.col("a").alias("node")), chain).collect()} == {"n000"}
 
 
+def test_sizes_at_all_thresholds(spark):
+    from quernstone.plans.graphs import al03
+    from quernstone.plans.roles import positive_pairs
+
+    d = "/root/testdata/sf0.001"
+    parts = [f"P{r.p_partkey}" for r in spark.read.parquet(f"{d}/part.parquet").collect()]
+    pairs = positive_pairs(spark, d).collect()
+    want = {}
+    for least in (1, 2, 3):
+        root = {p: p for p in parts}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in pairs:
+            if r.n >= least:
+                root[top(r.a)] = top(r.b)
+        sizes = {}
+        for p in parts:
+            sizes[top(p)] = sizes.get(top(p), 0) + 1
+        ranked = sorted(sizes.values())
+        want[least] = (len(ranked), ranked[-1], *(ranked[-(-len(ranked) * q // 100) - 1] for q in (25, 50, 75, 99)))
+    assert {r.least_reports: (r.components, r.largest, r.q25, r.q50, r.q75, r.q99) for r in al03(spark, d).collect()} == want
+
+
 def test_degree_summary(spark):
     r = degree_summary(spark.createDataFrame([(x,) for x in [0, 0, 1, 1, 2, 6]], "degree long")).first()
     assert (r.n, r.q50, r.q99, r.top_share) == (6, 1, 6, 0.6)
