@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .identities import CELLS, HELD, heldout_brands, with_cells
 from ..functions.identity import degree_pair_stratum
+from ..functions.text import ngrams
 from .registry import query
 from .roles import GRAPH, PAIRS, PD, STRATUM, degrees, positive_pairs, table, with_degrees
 
@@ -55,6 +56,20 @@ def jn27(spark, d):
     return k.toDF("a", "g").join(k.toDF("b", "g"), "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+KMERS = "k AS (SELECT p_brand AS id, g, count(*) AS n FROM (SELECT p_brand, unnest([substr(p_type, i, 3) FOR i IN range(1, length(p_type) - 1)]) AS g FROM part) GROUP BY ALL), v AS (SELECT id, g, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS v FROM k)"
+
+
+@query("jn27_kmer_similarity", f"WITH {KMERS} SELECT x.id AS a, y.id AS b, round(sum(x.v * y.v), 9) AS similarity FROM v x JOIN v y ON x.g = y.g WHERE y.id NOT IN {HELD} GROUP BY x.id, y.id")
+def jn27_whole(spark, d):
+    """All groups against those that aren't held out, by all 3-mers of their texts with normalised counts; pairs without a common 3-mer have no row."""
+    k = table(spark, d, "part").select(F.col("p_brand").alias("id"), F.explode(ngrams(F.col("p_type"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+    norm = k.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    v = k.join(norm, "id").select("id", "g", (F.col("n") / F.col("norm")).alias("v"))
+    exposed = v.join(heldout_brands(spark, d), F.col("id") == F.col("p_brand"), "left_anti")
+    j = v.toDF("a", "g", "va").join(exposed.toDF("b", "g", "vb"), "g")
+    return j.groupBy("a", "b").agg(F.round(F.sum(F.col("va") * F.col("vb")), 9).alias("similarity"))
+
+
 @query("jn33_selection_flags", "SELECT l_orderkey, l_linenumber, (l_partkey, l_suppkey) IN (SELECT o_custkey, o_custkey FROM orders) AS exact, l_partkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS by_part FROM lineitem")
 def jn33(spark, d):
     o = table(spark, d, "orders")

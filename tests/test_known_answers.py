@@ -90,6 +90,12 @@ def test_components(spark):
     assert {r.representative for r in connected_components(chain.select(F.col("a").alias("node")), chain).collect()} == {"n000"}
 
 
+def tables(spark, tmp_path, **found):
+    for name, (rows, columns) in found.items():
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
 def test_sizes_at_all_thresholds(spark):
     from quernstone.plans.graphs import al03
     from quernstone.plans.roles import positive_pairs
@@ -117,6 +123,19 @@ def test_sizes_at_all_thresholds(spark):
     assert {r.least_reports: (r.components, r.largest, r.q25, r.q50, r.q75, r.q99) for r in al03(spark, d).collect()} == want
 
 
+def test_kmer_similarity_reads_whole_texts(spark, tmp_path):
+    from quernstone.plans.scoring import heldout_brands, jn27_whole
+
+    texts = {"A": "xxxCOMMON", "B": "yyyCOMMON", "C": "zzzzzz", "D": "xxxq"}
+    d = tables(spark, tmp_path, part=(list(texts.items()), "p_brand string, p_type string"))
+    held = {r.p_brand for r in heldout_brands(spark, d).collect()}
+    count = lambda t: {t[i : i + 3]: sum(t[j : j + 3] == t[i : i + 3] for j in range(len(t) - 2)) for i in range(len(t) - 2)}
+    dot = lambda x, y: sum(n * y.get(g, 0) for g, n in x.items())
+    k = {b: count(t) for b, t in texts.items()}
+    want = {(a, b): round(dot(k[a], k[b]) / (dot(k[a], k[a]) * dot(k[b], k[b])) ** 0.5, 6) for a in k for b in k if b not in held and dot(k[a], k[b])}
+    assert {(r.a, r.b): round(r.similarity, 6) for r in jn27_whole(spark, d).collect()} == want and len(held) == 1
+
+
 def test_degree_summary(spark):
     r = degree_summary(spark.createDataFrame([(x,) for x in [0, 0, 1, 1, 2, 6]], "degree long")).first()
     assert (r.n, r.q50, r.q99, r.top_share) == (6, 1, 6, 0.6)
