@@ -56,7 +56,7 @@ def replicates(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_nationkey").cast("string").alias("ca"))
     rows = table(spark, d, "lineitem").join(s, "l_suppkey").join(o, "l_orderkey").select("ca", "cb", F.col("l_discount").alias("score"), (F.col("l_returnflag") == "R").alias("positive"), F.col("l_quantity").alias("weight"))
     names = [str(r.n_nationkey) for r in table(spark, d, "nation").collect()]
-    return M.bootstrap(rows, names, 200, 20260803)
+    return M.bootstrap(rows, names, 2000, 20260803)
 
 
 @query("al21_clustered_bootstrap")

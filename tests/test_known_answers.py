@@ -136,6 +136,12 @@ def test_kmer_similarity_reads_whole_texts(spark, tmp_path):
     assert {(r.a, r.b): round(r.similarity, 6) for r in jn27_whole(spark, d).collect()} == want and len(held) == 1
 
 
+def test_bootstrap_has_all_replicates(spark):
+    from quernstone.plans.benchmark import al21
+
+    assert al21(spark, "/root/testdata/sf0.001").count() == 2000
+
+
 def test_degree_summary(spark):
     r = degree_summary(spark.createDataFrame([(x,) for x in [0, 0, 1, 1, 2, 6]], "degree long")).first()
     assert (r.n, r.q50, r.q99, r.top_share) == (6, 1, 6, 0.6)
