@@ -15,13 +15,14 @@ Rows are never merged, so repeated rows and repeated ids each keep their own res
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from array import array
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,9 @@ from .common import Generations, quiet_worker, slices
 #: Words of more symbols than this do not enter the trie, whose paths stay short.
 LONG = 256
 #: Distinct new words in one trie; chunks and words that a worker keeps; characters and texts whose new words share a trie.
-TRIE_WORDS, KEPT, KEPT_WORDS = 40_000, 120_000, 100_000
+TRIE_WORDS, KEPT, KEPT_WORDS = 40_000, 300_000, 250_000
+#: Seams and last tokens that a worker remembers.
+SEAMS, HINTS = 600_000, 400_000
 SLICE_CHARS, SLICE_ROWS = 4_000_000, 4_096
 
 #: White space of the Unicode property White_Space, as a regular-expression class.
@@ -59,7 +62,9 @@ class Merges:
         self.made = made
         bare = lambda s: s.removesuffix(suffix) if suffix else s
         self.length = {i: len(bare(s)) for s, i in vocab.items()}
+        self.bare = {i: bare(s) for s, i in vocab.items()}
         self.longest = max(self.length.values(), default=1)
+        self.hints: dict[tuple, int] = {}
         self._after, self._whole, self._right, self._left = {}, {}, {}, {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -87,7 +92,7 @@ class Merges:
             if ok:
                 right, left, rank = self._spine(a, 1), self._spine(b, 0), self.rank
                 ok = not any((r := rank.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in right for y, y_until in left)
-            if len(self._after) > 1_000_000:
+            if len(self._after) > SEAMS:
                 self._after.clear()
             self._after[key] = ok
         return ok
@@ -112,11 +117,23 @@ class Merges:
         return parts == [token]
 
     def last(self, word: str, n: int, end: str, states: list[int]) -> int:
-        """The last token of the encoding of word[:n] (+ end), given the last tokens of all its shorter prefixes."""
+        """The last token of the encoding of word[:n] (+ end), given the last tokens of all its shorter prefixes.
+
+        Just one token that ends here can stand last, so what stood here after the same token is tried first.
+        """
+        hint = (states[n - 1], word[n - 1], end)
+        t = self.hints.get(hint)
+        if t is not None:
+            size = self.length[t]
+            if size <= n and self.bare[t] == word[n - size : n] and (self.follows(states[n - size], t) if size < n else self.whole(t)):
+                return t
         get, follows = self.vocab.get, self.follows
         for size in range(1, min(n, self.longest) + 1):
             t = get(word[n - size : n] + end)
             if t is not None and (follows(states[n - size], t) if size < n else self.whole(t)):
+                if len(self.hints) > HINTS:
+                    self.hints.clear()
+                self.hints[hint] = t
                 return t
         raise ValueError(f"no token of the vocabulary ends {word[max(0, n - 20) : n]!r}")
 
@@ -134,28 +151,26 @@ class Merges:
         return self._unwind(self.last(word, n, self.suffix, states), n, states)
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """The encodings of distinct, non-empty words, spelled in the byte alphabet."""
+        """The encodings of distinct, non-empty words, spelled in the byte alphabet.
+
+        The trie is laid out as its words in order: neighbours share a path from the root as far as they agree, and
+        reading on is the depth-first walk. States of a shared path stay, each node gets its own just once.
+        """
         out = {w: self.alone(w) for w in words if len(w) > LONG}
-        root: dict = {}
-        for w in words:
-            if len(w) <= LONG:
-                node = root
-                for c in w[:-1]:
-                    node = node.setdefault(c, {})
-                node.setdefault("", []).append(w)  # no symbol is empty: the words that end one symbol below
-        path, states, todo = "", [-1], [(root, 0, "")]
-        while todo:
-            node, depth, symbol = todo.pop()
-            if depth:
-                path = path[: depth - 1] + symbol
-                del states[depth:]
-                states.append(self.last(path, depth, "", states))
-            for c, below in node.items():
-                if c:
-                    todo.append((below, depth + 1, c))
-                    continue
-                for w in below:
-                    out[w] = self._unwind(self.last(w, depth + 1, self.suffix, states), depth + 1, states)
+        trie = sorted(w for w in words if len(w) <= LONG)
+        last, end, unwind, length = self.last, self.suffix, self._unwind, self.length
+        states, before = [-1], ""
+        for w in trie:
+            n, k = len(w), 1
+            most = min(len(states), n)
+            while k < most and w[k - 1] == before[k - 1]:
+                k += 1
+            del states[k:]
+            for i in range(k, n):
+                states.append(last(w, i, "", states))
+            final = last(w, n, end, states)
+            out[w] = unwind(final, n, states) if length[final] < n else [final]
+            before = w
         return out
 
 
@@ -173,53 +188,66 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.spelling = self.merges.spelling | {i: s for s, i in self.special.items()}
         parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(parts[0]["pattern"]["Regex"].replace(r"\s", WHITE)).findall
-        self.white, self.odd = regex.compile(f"[{WHITE}]+"), regex.compile("[\x1c-\x1f]")
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.words = regex.compile(parts[0]["pattern"]["Regex"].replace(r"\s", WHITE) + r"|\n").findall
+        self.white = re.compile(f"[{WHITE}]+".replace("\t-\r ", ""))
+        self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = byte_alphabet()
+        self.number = {i: str(i) for i in self.spelling}
         self.cache, self.known_words = Generations(kept), Generations(KEPT_WORDS)
 
-    def _chunks(self, text: str) -> list[str]:
-        if self.odd.search(text):  # str.split() takes these for white space
-            return [c for c in self.white.split(text) if c]
-        return text.split()
-
     def _normal(self, chunk: str) -> str:
         """Composed, then lower-cased character by character: a final sigma has no form of its own."""
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
     def _add_words(self, words) -> None:
         """Put the encodings of words that aren't known yet into the cache of words."""
-        kept, spelling, letters = self.known_words, self.spelling, self.letters
+        kept, letters = self.known_words, self.letters
         new = kept.missing(words)
         for i in range(0, len(new), TRIE_WORDS):
             spelled = {w.encode().decode("latin-1").translate(letters): w for w in new[i : i + TRIE_WORDS]}
             for s, ids in self.merges.encode(list(spelled)).items():
-                kept.young[spelled[s]] = (len(ids), " ".join(map(str, ids)), " ".join([spelling[t] for t in ids]), array("i", ids).tobytes())
-
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str, bytes]]]:
-        """For each text its chunks' encodings: number of ids, the ids and the tokens joined by one space, the ids' 32-bit numbers."""
-        split = []
-        for t in texts:
-            if self.at_special and any(s in t for s in self.special):
-                split.append(list(chain.from_iterable([p] if p in self.special else self._chunks(p) for p in self.at_special.split(t))))
+                kept.young[spelled[s]] = tuple(ids)
+
+    def _spaced(self, text: str) -> str:
+        """The text with ASCII spaces for all other white space beyond ASCII and on both sides of special strings."""
+        if not text.isascii():
+            text = self.white.sub(" ", text)
+        return self.at_special.sub(r" \1 ", text) if self.at_special and any(s in text for s in self.special) else text
+
+    def encode(self, texts: list[str], forms: tuple[str, ...] = ("ids",)) -> dict[str, pa.Array]:
+        """For each text the FORMS asked for: ``n_tokens``, ``ids``, ``ids_text`` and ``decoded``.
+
+        A form is made once for each distinct chunk of white space to white space; a text's is its chunks' in a row.
+        An empty text has one chunk, the empty one.
+        """
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(map(self._spaced, texts), pa.string())))
+        every = split.flatten().dictionary_encode()
+        distinct = every.dictionary.to_pylist()
+        if new := self.cache.missing(distinct):
+            self._add_chunks(new)
+        young = self.cache.young
+        coded, places, ends = [young[c] for c in distinct], every.indices, split.offsets.to_numpy()
+        return {f: FORMS[f](self, coded, places, ends) for f in forms}
+
+    def _add_chunks(self, new: list[str]) -> None:
+        """Put the ids of chunks that aren't known yet into the cache of chunks."""
+        young = self.cache.young
+        for c in self.special.keys() & set(new):
+            young[c] = (self.special[c],)
+        plain = [c for c in new if c not in self.special]
+        if not plain:
+            return
+        # One search over all new chunks, which hold no line feed, gives the words of each between two of them.
+        words = self.words("\n".join(map(self._normal, plain)))
+        words.append("\n")
+        self._add_words([w for w in words if w != "\n"])
+        known, ids, at = self.known_words.young, (), 0
+        for w in words:
+            if w != "\n":
+                ids = ids + known[w] if ids else known[w]
             else:
-                split.append(self._chunks(t))
-        new = self.cache.missing(chain.from_iterable(split))
-        young, find = self.cache.young, self.words
-        if new:
-            parts = [(c, find(self._normal(c))) for c in new if c not in self.special]
-            self._add_words(chain.from_iterable(p for _, p in parts))
-            words = self.known_words.young
-            for c, p in parts:
-                if len(p) == 1:
-                    young[c] = words[p[0]]
-                else:
-                    counts, ids_text, decoded, ids = zip(*[words[w] for w in p])
-                    young[c] = (sum(counts), " ".join(ids_text), " ".join(decoded), b"".join(ids))
-            for c in self.special.keys() & set(new):
-                young[c] = (1, str(self.special[c]), c, array("i", [self.special[c]]).tobytes())
-        return [[young[c] for c in chunks] for chunks in split]
+                young[plain[at]] = ids
+                ids, at = (), at + 1
 
     def decode(self, ids) -> str:
         """The tokens' spellings joined by one space: this vocabulary's file names no decoder."""
@@ -232,12 +260,36 @@ def worker_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def id_lists(packed: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+def _n_tokens(encoder, coded, places, ends) -> pa.Array:
+    before = np.r_[0, np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))[places.to_numpy()])]
+    return pa.array(before[ends[1:]] - before[ends[:-1]])
+
+
+def _ids(encoder, coded, places, ends) -> pa.Array:
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))))
+    before = np.r_[0, np.cumsum(sizes[places.to_numpy()])]
+    return pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), lists.take(places).flatten())
+
+
+def _joined(coded: list[str], places, ends) -> pa.Array:
+    """Each text's strings joined by one space; a chunk without tokens has no place in it."""
+    strings = pa.array(coded, pa.string()).take(places)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings), " ")
+
+
+def _ids_text(encoder, coded, places, ends) -> pa.Array:
+    number = encoder.number
+    return _joined([" ".join([number[t] for t in ids]) for ids in coded], places, ends)
+
+
+def _decoded(encoder, coded, places, ends) -> pa.Array:
+    spelling = encoder.spelling
+    return _joined([" ".join([spelling[t] for t in ids]) for ids in coded], places, ends)
 
 
-OUTPUTS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "ids_text": ("string", pa.string()), "decoded": ("string", pa.string())}
+FORMS = {"n_tokens": _n_tokens, "ids": _ids, "ids_text": _ids_text, "decoded": _decoded}
+OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_text": "string", "decoded": "string"}
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
@@ -246,7 +298,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: t
     ids_text has the decimal ids joined by one space; decoded is what the ids decode to. Narrow: no shuffle.
     """
     own = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(o, T._parse_datatype_string(OUTPUTS[o][0])) for o in outputs)])
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(o, T._parse_datatype_string(OUTPUTS[o])) for o in outputs)])
     n_keep = len(keep)
 
     def work(batches):
@@ -254,14 +306,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: t
         encoder = worker_encoder(tokenizer_path)
         for batch in batches:
             for at, texts in slices(batch, n_keep, SLICE_CHARS, SLICE_ROWS):
-                coded = encoder.encode(texts)
-                made = {
-                    "n_tokens": lambda: [sum(c[0] for c in d) for d in coded],  # noqa: B023
-                    "ids": lambda: id_lists([b"".join([c[3] for c in d]) for d in coded]),  # noqa: B023
-                    "ids_text": lambda: [" ".join([c[1] for c in d]) for d in coded],  # noqa: B023
-                    "decoded": lambda: [" ".join([c[2] for c in d]) for d in coded],  # noqa: B023
-                }
-                rows = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:n_keep], *(made[o]() if o == "ids" else pa.array(made[o](), OUTPUTS[o][1]) for o in outputs)], names=[*keep, *outputs])
+                made = encoder.encode(texts, outputs)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:n_keep], *made.values()], names=[*keep, *outputs])
 
     return own.mapInArrow(work, schema)
