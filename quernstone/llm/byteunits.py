@@ -78,6 +78,15 @@ class ByteUnits:
                 self._engine = None
         return self._engine
 
+    #: White space other than a plain space, which is left to the tokenizers library as well.
+    UNUSUAL = re.compile("[^\x00-\x08\x0e-\x1b -\x84\x86-\x9f\xa1-\u024f\n]")
+
+    def whole(self, text: str):
+        """The ids of a whole plain text as numbers, by the engine; None where the text isn't plain."""
+        if not text or not self.engine() or self.UNUSUAL.search(text) or any(s in text for s in self.special):
+            return None
+        return self.engine()[0].encode_to_numpy(text)
+
     def encoded(self, units: list):
         """(units, their ids in a row, where each unit's ids end), all units being covered by some of the triples.
 

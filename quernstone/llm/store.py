@@ -33,6 +33,8 @@ from .common import durable, quiet_worker, shared_dir, slices
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 16, 8, 64, 4096
 KEPT = 150_000
 DIGEST = 16
+#: Recipes under one node of the manifest's tree, as a power of two.
+FAN_BITS = 12
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
@@ -52,17 +54,33 @@ def rolling(ids: np.ndarray) -> np.ndarray:
 
 def cuts(ids: np.ndarray) -> list[int]:
     """The ends of the chunks of one document's ids."""
-    ends, at = [], 0
-    for p in (np.flatnonzero(rolling(ids) >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
-        while p - at > LONGEST:
+    return chunk_ends(ids, np.array([len(ids)]))[0]
+
+
+def chunk_ends(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """For each of some documents whose ids stand in a row, the ends of its chunks; sizes: the documents' numbers of ids.
+
+    A chunk has SHORTEST ids at least, more than the rolling window, so no cut depends on the document before.
+    """
+    borders = np.r_[0, np.cumsum(sizes)]
+    marks = np.flatnonzero(rolling(ids) >> np.uint64(64 - CUT_BITS) == 0) + 1
+    split = np.searchsorted(marks, borders, "right").tolist()
+    marks, out = marks.tolist(), []
+    for d, (start, stop) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist())):
+        ends, at = [], start
+        for p in marks[split[d] : split[d + 1]]:
+            while p - at > LONGEST:
+                at += LONGEST
+                ends.append(at)
+            if p - at >= SHORTEST:
+                ends.append(at := p)
+        while stop - at > LONGEST:
             at += LONGEST
             ends.append(at)
-        if p - at >= SHORTEST:
-            ends.append(at := p)
-    while len(ids) - at > LONGEST:
-        at += LONGEST
-        ends.append(at)
-    return ends if at == len(ids) and ends else [*ends, len(ids)]
+        if at < stop or not ends:
+            ends.append(stop)
+        out.append([e - start for e in ends])
+    return out
 
 
 def digest(payload: bytes) -> bytes:
@@ -81,40 +99,40 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     """Encode every whole text, append end_id, and write the store; returns its Merkle root in hex."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, chunks array<struct<digest: binary, n: int, payload: binary>>, root binary"
-    arrow = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
     kind = id_type(tokenizer_path)
 
     def work(batches):
         quiet_worker()
-        units, cache = worker_units(tokenizer_path), worker_cache(tokenizer_path, KEPT, kind.str)
-        end, width, seen = np.array([end_id], kind).tobytes(), kind.itemsize, set()
+        encode, end, width, seen = worker_documents(tokenizer_path, kind), np.array([end_id], kind), kind.itemsize, set()
         for batch in batches:
             for at, texts in slices(batch, 1):
-                cut = [units.of(t) for t in texts]
-                known = cache.known(cut)
-                sizes, chunked, roots = [], [], []
-                for c in cut:
-                    data = b"".join(map(known.__getitem__, c)) + end
-                    ids, chunks, start = np.frombuffer(data, kind), [], 0
-                    for stop in cuts(ids):
-                        payload = data[start * width : stop * width]
-                        key = digest(payload)
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        chunks.append({"digest": key, "n": stop - start, "payload": None if key in seen else payload})
-                        seen.add(key)
-                        start = stop
-                    sizes.append(len(ids))
-                    chunked.append(chunks)
-                    roots.append(merkle([c["digest"] for c in chunks]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(chunked, arrow), pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "chunks", "root"])
-
-    staged = durable(own.mapInArrow(work, schema), "staged", f"{path}/staged")
+                each = [np.concatenate((x, end)) for x in encode(texts)]
+                sizes, data = np.array([len(x) for x in each]), np.concatenate(each)
+                keys, lengths, payloads, counts, roots, start = [], [], [], [], [], 0
+                raw = data.tobytes()
+                if len(seen) > 500_000:
+                    seen.clear()
+                for ends, size in zip(chunk_ends(data, sizes), sizes.tolist()):
+                    stops = [(start + e) * width for e in ends]
+                    parts = [raw[a:b] for a, b in zip([start * width, *stops], stops)]
+                    names = [digest(p) for p in parts]
+                    keys += names
+                    payloads += [None if k in seen or seen.add(k) else p for k, p in zip(names, parts)]
+                    lengths += [len(p) // width for p in parts]
+                    counts.append(len(ends))
+                    roots.append(merkle(names))
+                    start += size
+                chunks = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(lengths, pa.int32()), pa.array(payloads, pa.binary())], names=["digest", "n", "payload"])
+                chunks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), chunks)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), chunks, pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "chunks", "root"])
+
+    # Rows of one id and equal ids are told apart by ``nth``, so no run of them has to be one task's.
+    staged = durable(own.mapInArrow(work, schema).withColumn("nth", F.monotonically_increasing_id()), "staged", f"{path}/staged")
     # A task leaves out a chunk that it has put down before, so each digest has one payload at least.
     once = staged.select(F.explode("chunks").alias("c")).select("c.*").where("payload is not null")
     once.groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = staged.select("doc_id", "n_tokens", F.col("chunks.digest").alias("digests"), "root")
-    recipes = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
+    recipes = staged.select("doc_id", "n_tokens", F.col("chunks.digest").alias("digests"), "root", "nth")
+    recipes = recipes.repartitionByRange("doc_id", "root", "nth").sortWithinPartitions("doc_id", "root", "nth").drop("nth")
     recipes = recipes.select(F.monotonically_increasing_id().alias("row"), "*")
     recipes.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/recipes")
     drop(staged.sparkSession, f"{path}/staged")
@@ -124,6 +142,21 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     return root.hex()
 
 
+def worker_documents(tokenizer_path: str, kind: np.dtype):
+    """A function from texts to their ids as numbers: plain texts whole, others by their units."""
+    units, cache = worker_units(tokenizer_path), worker_cache(tokenizer_path, KEPT, kind.str)
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        out = [units.whole(t) for t in texts]
+        cut = {i: units.of(t) for i, t in enumerate(texts) if out[i] is None}
+        known = cache.known(cut.values())
+        for i, c in cut.items():
+            out[i] = np.frombuffer(b"".join(map(known.__getitem__, c)), kind)
+        return [x.astype(kind, copy=False) for x in out]
+
+    return encode
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder by the file system that it is on."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -137,11 +170,13 @@ def id_type(tokenizer_path: str):
 
 
 def recipe_leaves(spark: SparkSession, path: str) -> list[bytes]:
-    """A digest for each range of recipes, in order: one row for each partition written, however many documents there are."""
-    part = F.shiftright("row", 33)
-    rows = spark.read.parquet(f"{path}/recipes").groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("row", F.substring("root", 1, DIGEST).alias("root")))).alias("roots"))
-    leaves = rows.select("part", F.sha2(F.array_join(F.transform("roots", lambda r: F.hex(r.root)), ","), 256).alias("leaf")).orderBy("part")
-    return [bytes.fromhex(r.leaf)[:DIGEST] for r in leaves.collect()]
+    """Digests over runs of recipes, in order: a tree of fan-out FAN over their roots, two levels before the driver takes it over."""
+    level = spark.read.parquet(f"{path}/recipes").select("row", F.substring("root", 1, DIGEST).alias("root"))
+    for _ in range(2):  # row numbers have the range in their upper bits: a run never has more than FAN members
+        run = level.groupBy(F.shiftright("row", FAN_BITS).alias("run")).agg(F.array_sort(F.collect_list(F.struct("row", "root"))).alias("roots"))
+        joined = F.sha2(F.array_join(F.transform("roots", lambda r: F.hex(r.root)), ","), 256)
+        level = run.select(F.col("run").alias("row"), F.substring(F.unhex(joined), 1, DIGEST).alias("root"))
+    return [bytes(r.root) for r in level.orderBy("row").collect()]
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
