@@ -222,7 +222,7 @@ class WordEncoder:
         """
         split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(map(self._spaced, texts), pa.string())))
         every = split.flatten().dictionary_encode()
-        distinct = every.dictionary.to_pylist()
+        distinct = every.dictionary.to_numpy(zero_copy_only=False).tolist()
         if new := self.cache.missing(distinct):
             self._add_chunks(new)
         young = self.cache.young

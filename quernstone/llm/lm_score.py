@@ -3,9 +3,9 @@
 Word counts come from all training documents. The most frequent words are outputs of the network; every
 other word belongs to one of ``BUCKETS`` outputs by its last two bytes, and has its smoothed share of the
 bucket's counts, so that any text, unseen words included, has a probability. The network is trained in
-``ROUNDS`` rounds: each task starts from the round's weights, reads its documents by truncated backpropagation, and the
-tasks' weights are averaged by tokens. Rounds read disjoint hash shares of the training documents, 1 of
-``SHARE`` each, and together all of them.
+``ROUNDS`` rounds, which share all training documents between them, each read once: a round's documents are dealt to
+shards of about ``SHARD_TOKENS`` tokens by a hash, every shard starts from the round's weights and is read by truncated
+backpropagation, and the shards' weights are averaged by tokens.
 
 Counts of frequent words are broadcast (``TIER`` words at most); only rarer words travel, once for each document, to
 meet their counts, so no word is hot in that join.
@@ -18,11 +18,11 @@ an empty table gives an empty table. Texts of any length are read whole, the sta
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,10 @@ from .common import SPACES, durable, lower_ascii, quiet_worker, slices
 
 #: Words that are outputs of their own (with the end), bucket outputs, words with broadcast counts and their longest spelling in bytes.
 OUTPUTS, BUCKETS, TIER, SPELLING = 1024, 64, 131_072, 64
-#: Rounds of training, and the share of the training documents that one round reads: all are read once.
-ROUNDS = SHARE = 2
+#: Longer words with broadcast counts, and their longest spelling in bytes.
+LONG_TIER, LONGEST = 2048, 2048
+#: Rounds of training, which share all training documents between them, and tokens of a shard that is trained on alone within a round.
+ROUNDS, SHARD_TOKENS = 2, 3_000_000
 SLICE_CHARS, SLICE_ROWS = 12_000_000, 6_000
 
 
@@ -40,11 +42,6 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Lower-cased words as bytes: A-Z only, split at the six ASCII white-space characters."""
-    return text.encode().lower().split()
-
-
 def bucket(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
@@ -80,16 +77,47 @@ class Vocabulary:
         self.log_total, self.log_end = float(np.log10(n + 0.1 * (v + 1))) if n + v else float(np.log10(0.1)), float(np.log10(ends + 0.1))
         self.end_known, self.n = ends > 0, n
 
-    def numbers(self, words: list[bytes]):
-        """Places in the tier (-1: not there), output ids with the end's, and the words that aren't in the tier."""
-        at = np.array(list(map(self.at.get, words, repeat(-1))), np.int32)
-        ids = np.empty(len(at) + 1, np.int32)
-        ids[-1], ids[:-1] = self.end, self.id[at]
-        out = np.flatnonzero(at < 0)
-        rare = [words[i] for i in out.tolist()]
-        buckets = np.array([bucket(w) for w in rare], int)
-        ids[out] = self.of_bucket[buckets]
-        return at, ids, rare, buckets
+    def numbers(self, texts: list[str]) -> "Numbered":
+        """The output ids of the texts' tokens, ends included, and what scoring needs of their words."""
+        lowered = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+        split = pc.ascii_split_whitespace(lowered)
+        every = split.flatten().dictionary_encode()
+        distinct, codes = every.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy()
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        if b"" in distinct:  # the one piece of a text without words
+            real = codes != distinct.index(b"")
+            codes, owner = codes[real], owner[real]
+        places = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int32, len(distinct))
+        buckets = np.array([bucket(w) if p < 0 else 0 for w, p in zip(distinct, places.tolist())], int)
+        kinds = np.where(places < 0, self.of_bucket[buckets], self.id[places]).astype(np.int32)
+        ends = np.cumsum(np.bincount(owner, minlength=len(texts)) + 1)
+        ids = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int32)
+        ids[np.arange(len(codes)) + owner] = kinds[codes]
+        return Numbered(ids, ends, owner, codes, places, buckets, every.dictionary)
+
+
+class Numbered:
+    """Tokens of some texts as numbers: ids of all in a row with each text's end; per word its text, its distinct word, that one's place in the tier."""
+
+    def __init__(self, ids, ends, owner, codes, places, buckets, words):
+        self.ids, self.ends, self.owner, self.codes, self.places, self.buckets, self.words = ids, ends, owner, codes, places, buckets, words
+
+    def docs(self) -> list[np.ndarray]:
+        return np.split(self.ids, self.ends[:-1]) if len(self.ends) else []
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.r_[0, self.ends])
+
+    def summed(self, of_word: np.ndarray) -> np.ndarray:
+        """For each text the sum of a number for each of its words."""
+        return np.bincount(self.owner, of_word[self.codes], len(self.ends))
+
+    def rare(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(words in each text, words, times) of the distinct words of each text that aren't in the tier."""
+        out = self.places[self.codes] < 0
+        pairs, times = np.unique(self.owner[out] * max(len(self.places), 1) + self.codes[out], return_counts=True)
+        texts, words = np.divmod(pairs, max(len(self.places), 1))
+        return np.bincount(texts, minlength=len(self.ends)), self.words.take(pa.array(words)), times
 
 
 class Shared:
@@ -117,11 +145,37 @@ def _shared(parts, key):
     return out
 
 
+def frequent(counts: DataFrame, room: int) -> list[tuple[str, int]]:
+    """At most ``room`` words with their counts, highest first: all that are more frequent than any other, by a histogram of the counts' logarithms.
+
+    Of the edge's bin as many hash classes are taken as there is room for, so never more than that many rows travel.
+    """
+    level, part = F.floor(F.log2("c") * 16).cast("int"), F.pmod(F.xxhash64("word"), F.lit(256)).cast("int")
+    own = counts.withColumns({"level": level, "part": part})
+    taken, edge = None, None
+    for r in own.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 64 x 16 rows at most
+        if r.n > room:
+            edge = r.level
+            break
+        taken, room = r.level, room - r.n
+    wanted = F.col("level") >= taken if taken is not None else F.lit(False)
+    if edge is not None:
+        parts = []
+        for r in own.where(F.col("level") == edge).groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+            if r.n > room:
+                break
+            parts.append(r.part)
+            room -= r.n
+        wanted |= (F.col("level") == edge) & F.col("part").isin(parts) if parts else F.lit(False)
+    return sorted(((r.word, r.c) for r in own.where(wanted).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def gather(docs: DataFrame, counts: DataFrame, key: str) -> tuple[Shared, Vocabulary]:
-    """The vocabulary from the written counts: sums over all of them, and the TIER most frequent words."""
+    """The vocabulary from the written counts: sums over all of them, and the TIER most frequent words (LONG_TIER among the long ones)."""
     spark = docs.sparkSession
-    spelled = F.octet_length("word") <= SPELLING
-    tier = [(r.word, r.c) for r in counts.where(spelled).orderBy(F.desc("c"), "word").limit(TIER + 1).collect()]
+    length = F.octet_length("word")
+    tier = frequent(counts.where(length <= SPELLING), TIER) + frequent(counts.where((length > SPELLING) & (length <= LONGEST)), LONG_TIER)
+    tier.sort(key=lambda x: (-x[1], x[0]))
     if not any(w == "" for w, _ in tier):
         tier += [(r.word, r.c) for r in counts.where("word = ''").collect()]
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -134,22 +188,65 @@ def gather(docs: DataFrame, counts: DataFrame, key: str) -> tuple[Shared, Vocabu
     return Shared(spark, parts, key), Vocabulary(*parts)
 
 
-def train(docs: DataFrame, shared: Shared, vocabulary: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> dict[str, np.ndarray]:
-    """The network's weights after rounds of local training and averaging. docs: doc_id, text of the training documents."""
+def partition_keys(spark, n: int) -> list[int] | None:
+    """For each of n partitions the least number that Spark's hash partitioning deals to it; None for many partitions, which even out by themselves."""
+    if n > 1024:
+        return None
+    own = spark.range(64 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id"))
+    found = {r.p: r.id for r in own.collect()}
+    return [found[p] for p in range(n)] if len(found) == n else None
+
+
+def train(docs: DataFrame, shared: Shared, vocabulary: Vocabulary, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> dict[str, np.ndarray]:
+    """The network's weights after rounds of local training and averaging. docs: doc_id, text of the training documents.
+
+    A document's round and shard are those of a hash of its id and text, and a shard is read in the order of such hashes:
+    how the table is dealt to files and tasks has no bearing on the weights.
+    """
     spark, w = docs.sparkSession, R.start(vocabulary.frequencies)
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("lm-train")), F.lit(share))
+    shards = max(1, round(vocabulary.n / rounds / shard_tokens))
+    keys = partition_keys(spark, shards)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    shard = F.get(F.array(*(F.lit(k).cast("int") for k in keys)), shard) if keys else shard
+    own = docs.select(F.xxhash64("doc_id", "text", F.lit("lm-train")).alias("key"), F.col("text").cast("string").alias("text"))
+    own = own.select(F.pmod("key", F.lit(rounds)).alias("turn"), shard.alias("shard"), "key", "text")
+
+    def number(batches):
+        quiet_worker()
+        known = shared.get()
+        for batch in batches:
+            for at, texts in slices(batch, 2, SLICE_CHARS // 3, SLICE_ROWS):
+                numbered, rows = known.numbers(texts), batch.slice(at, len(texts))
+                ids = numbered.ids.astype("<u2")
+                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.r_[0, 2 * numbered.ends].astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), packed], names=["shard", "key", "ids"])
+
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(R.flat(w).tobytes())
 
         def work(batches, sent=sent, k=k):
             quiet_worker()
-            known = shared.get()
-            trainer = R.Trainer(R.shaped(np.frombuffer(sent.value, np.float32), R.start(known.frequencies)), 0.02 / (k + 1))
+            known, shard, held, size = shared.get(), None, [], 0
+            before = R.shaped(np.frombuffer(sent.value, np.float32), R.start(known.frequencies))
+
+            def learned():
+                return pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([R.flat(trainer.w).tobytes()], pa.binary())], names=["n", "w"])
+
             for batch in batches:
-                for _, texts in slices(batch, 0, SLICE_CHARS // 3, SLICE_ROWS):
-                    trainer.learn([known.numbers(tokens_of(t))[1] for t in texts], known.end)
-            if trainer.tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([R.flat(trainer.w).tobytes()], pa.binary())], names=["n", "w"])
+                for s, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    if s != shard or size > 2 * shard_tokens:
+                        if held:
+                            trainer.learn(held, known.end)
+                        if s != shard:
+                            if shard is not None:
+                                yield learned()
+                            shard, trainer = s, R.Trainer(before, 0.02 / (k + 1))
+                        held, size = [], 0
+                    held.append(np.frombuffer(ids, "<u2"))
+                    size += len(held[-1])
+            if held:
+                trainer.learn(held, known.end)
+                yield learned()
 
         def average(batches):
             total, held = 0, 0
@@ -160,8 +257,9 @@ def train(docs: DataFrame, shared: Shared, vocabulary: Vocabulary, rounds: int =
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(held / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-        own = docs.where(turn == k).select(F.col("text").cast("string"))
-        local = durable(own.mapInArrow(work, "n long, w binary"), "lm-weights")
+        dealt = own.where(F.col("turn") == k).select("shard", "key", "text").mapInArrow(number, "shard int, key long, ids binary")
+        dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids")
+        local = durable(dealt.mapInArrow(work, "n long, w binary"), "lm-weights")
         # As many groups as the square root of the tasks: neither a group nor the driver gets all weights.
         tasks = local.count()
         merged = local.repartition(max(1, round(tasks**0.5))).mapInArrow(average, "n long, w binary").collect()
@@ -188,22 +286,16 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         w = R.shaped(np.frombuffer(weights.value, np.float32), R.start(known.frequencies))
         for batch in batches:
             for at, texts in slices(batch, 1, SLICE_CHARS, SLICE_ROWS):
-                docs, n_tokens, n_known, base, extra, words, sizes = [], [], [], [], [], [], []
-                for t in texts:
-                    places, ids, rare, buckets = known.numbers(tokens_of(t))
-                    inside = places[places >= 0]
-                    docs.append(ids)
-                    n_tokens.append(len(ids))
-                    n_known.append(len(inside) + known.end_known)
-                    base.append(known.log_c[inside].sum() + known.log_end - len(ids) * known.log_total)
-                    extra.append(known.in_bucket[inside].sum() - known.log_share[buckets].sum())
-                    words.append(Counter(rare))
-                    sizes.append(len(words[-1]))
-                scores = R.score(w, docs, known.end) / np.log(10) + np.array(extra)
-                spelled = pa.array([x for c in words for x in c], pa.binary()).cast(pa.string())
-                times = pa.array([n for c in words for n in c.values()], pa.int32())
-                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays([spelled, times], fields=list(rare_type.value_type)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), rare], names=["doc_id", "n_tokens", "n_known", "base", "model", "rare"])
+                x = known.numbers(texts)
+                there = x.places >= 0
+                of_tier = lambda values: np.where(there, values[np.maximum(x.places, 0)], 0.0)  # noqa: B023, E731
+                n_known = x.summed(there.astype(float)).astype(np.int64) + known.end_known
+                base = x.summed(of_tier(known.log_c)) + known.log_end - x.sizes() * known.log_total
+                extra = x.summed(of_tier(known.in_bucket) - np.where(there, 0.0, known.log_share[x.buckets]))
+                scores = R.score(w, x.docs(), known.end) / np.log(10) + extra
+                sizes, spelled, times = x.rare()
+                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays([spelled, pa.array(times, pa.int32())], fields=list(rare_type.value_type)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(x.sizes(), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), rare], names=["doc_id", "n_tokens", "n_known", "base", "model", "rare"])
 
     kind = dict(docs.dtypes)["doc_id"]
     staged = docs.mapInArrow(work, f"doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<struct<word: string, n: int>>")

@@ -75,49 +75,71 @@ class Lanes:
             yield slice(at, stop), n, np.arange(at, stop)[:, None] < self.sizes[None, :n]
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def forward(w, before, fresh, h, keep: bool = False):
-    """Hidden states after each step's previous token (steps, lanes, HIDDEN), the last state, and what backward needs."""
-    out, saved = np.empty((*before.shape, HIDDEN), F32), []
-    u_zr, u_n = np.ascontiguousarray(w["u"][:, : 2 * HIDDEN]), np.ascontiguousarray(w["u"][:, 2 * HIDDEN :])
-    gates = w["x"] + w["b"]
-    for t in range(len(before)):
-        if fresh[t].any():
-            h = np.where(fresh[t][:, None], F32(0), h)
-        g = gates[before[t]]
-        zr = sigmoid(g[:, : 2 * HIDDEN] + h @ u_zr)
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        a = h @ u_n
-        n = np.tanh(g[:, 2 * HIDDEN :] + r * a)
+    """Hidden states after each step's previous token (steps, HIDDEN, lanes), the last state, and what backward needs.
+
+    Lanes are the last axis, so that what is done to a gate is done to a stretch of memory.
+    """
+    both, (steps, lanes) = 2 * HIDDEN, before.shape
+    out = np.empty((steps, HIDDEN, lanes), F32)
+    u_zr, u_n = np.ascontiguousarray(w["u"][:, :both].T), np.ascontiguousarray(w["u"][:, both:].T)
+    # In place: the update and reset gates, then the candidate state.
+    gates = np.ascontiguousarray((w["x"] + w["b"])[before].transpose(0, 2, 1))
+    start, inner = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
+    renewed = fresh.any(axis=1).tolist()
+    for t in range(steps):
+        if renewed[t]:
+            h = np.where(fresh[t], F32(0), h)
+        zr, n = gates[t, :both], gates[t, both:]
+        zr += u_zr @ h
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += F32(1)
+        np.reciprocal(zr, out=zr)
+        a = u_n @ h
         if keep:
-            saved.append((h, z, r, a, n))
-        h = n + z * (h - n)
+            start[t], inner[t] = h, a
+        a *= zr[HIDDEN:]
+        n += a
+        np.tanh(n, out=n)
+        h = h - n
+        h *= zr[:HIDDEN]
+        h += n
         out[t] = h
-    return out, h, saved
+    return out, h, (start, gates, inner)
 
 
-def log_softmax(x):
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def softmax(x):
+    """Softmax down the columns, in place; returns it with the logs of the sums that were divided by."""
+    most = x.max(axis=0)
+    x -= most
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    x /= total
+    return x, np.log(total) + most
 
 
-def groups(classes: np.ndarray):
-    """(class, places of its tokens) of each class that occurs."""
+def by_class(tokens: np.ndarray):
+    """The order of tokens by class, and (class, first, end) of each class that occurs in that order."""
+    classes = tokens // SIZE
     order = np.argsort(classes, kind="stable")
-    ends = np.flatnonzero(np.r_[np.diff(classes[order]) != 0, True]) + 1
-    for a, b in zip(np.r_[0, ends[:-1]], ends):
-        yield int(classes[order[a]]), order[a:b]
+    sizes = np.bincount(classes)
+    ends = np.cumsum(sizes)
+    return order, [(int(c), int(ends[c] - sizes[c]), int(ends[c])) for c in np.flatnonzero(sizes)]
 
 
 def log_probabilities(w, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Natural logs of the tokens' probabilities; states (n, HIDDEN), tokens (n)."""
-    classes = tokens // SIZE
-    out = log_softmax(states @ w["c"] + w["cb"])[np.arange(len(tokens)), classes]
-    for c, i in groups(classes):
-        out[i] += log_softmax(states[i] @ w["o"][c] + w["ob"][c])[np.arange(len(i)), tokens[i] % SIZE]
+    """Natural logs of the tokens' probabilities; states (HIDDEN, n), tokens (n)."""
+
+    def chosen(z, which):
+        most = z.max(axis=0)
+        return z[which, np.arange(len(which))] - most - np.log(np.exp(z - most).sum(axis=0))
+
+    out = chosen(w["c"].T @ states + w["cb"][:, None], tokens // SIZE)
+    order, runs = by_class(tokens)
+    states, within = states[:, order], tokens[order] % SIZE
+    for c, a, b in runs:
+        out[order[a:b]] += chosen(w["o"][c].T @ states[:, a:b] + w["ob"][c][:, None], within[a:b])
     return out
 
 
@@ -127,62 +149,78 @@ def score(w, docs: list[np.ndarray], first: int, lanes: int = 256, steps: int =
     if not docs:
         return total
     side = Lanes(docs, first, lanes)
-    h = np.zeros((len(side.sizes), HIDDEN), F32)
+    h = np.zeros((HIDDEN, len(side.sizes)), F32)
     for at, n, real in side.windows(steps):
-        states, h, _ = forward(w, side.before[at, :n], side.fresh[at, :n], h[:n])
-        logs = log_probabilities(w, states[real], side.token[at, :n][real])
+        states, h, _ = forward(w, side.before[at, :n], side.fresh[at, :n], h[:, :n])
+        logs = log_probabilities(w, states.transpose(1, 0, 2)[:, real], side.token[at, :n][real])
         total += np.bincount(side.doc[at, :n][real], logs, len(docs))
     return total
 
 
 class Trainer:
-    """Adam over windows of ``steps`` steps; gradients stop at a window's start, states do not."""
+    """Adam over windows of ``steps`` steps; gradients stop at a window's start, states do not.
+
+    Windows in which few lanes are still being read are gathered until they make half a full one.
+    """
 
     def __init__(self, w, rate: float = 0.01):
         self.w, self.rate, self.t, self.tokens = {k: v.copy() for k, v in w.items()}, rate, 0, 0
+        self.gathered, self.waiting = None, 0
         self.m, self.v = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
 
-    def learn(self, docs: list[np.ndarray], first: int, lanes: int = 128, steps: int = 24, longest: int = 2048) -> None:
-        """One pass over whole documents; long ones are read as pieces side by side, each from an empty state."""
-        pieces = [d[i : i + longest] for d in docs for i in range(0, len(d), longest)]
-        if not pieces:
+    def learn(self, docs: list[np.ndarray], first: int, lanes: int = 384, steps: int = 24) -> None:
+        """One pass over whole documents, side by side; a document's state is carried from window to window."""
+        if not docs:
             return
-        side = Lanes(pieces, first, min(lanes, max(4, sum(map(len, pieces)) // 256)))  # little text: fewer lanes, more steps
-        h = np.zeros((len(side.sizes), HIDDEN), F32)
+        side = Lanes(docs, first, min(lanes, max(4, sum(map(len, docs)) // 256)))  # little text: fewer lanes, more steps
+        h = np.zeros((HIDDEN, len(side.sizes)), F32)
+        enough = len(side.sizes) * steps // 2
         for at, n, real in side.windows(steps):
-            h = self._window(side.token[at, :n], side.before[at, :n], side.fresh[at, :n], real, h[:n])
+            h = self._window(side.token[at, :n], side.before[at, :n], side.fresh[at, :n], real, h[:, :n])
+            if self.waiting >= enough:
+                self._step(self._mean())
+        if self.waiting:
+            self._step(self._mean())
 
     def _window(self, token, before, fresh, real, h):
         w = self.w
         states, h, saved = forward(w, before, fresh, h, keep=True)
-        s, y = states[real], token[real]
-        n = max(len(y), 1)
-        classes = y // SIZE
+        y = token[real]
+        order, runs = by_class(y)
+        s, y = states.transpose(1, 0, 2)[:, real][:, order], y[order]
         g = {k: np.zeros_like(v) for k, v in w.items() if k in ("o", "ob")}
-        dc = np.exp(log_softmax(s @ w["c"] + w["cb"]))
-        dc[np.arange(len(y)), classes] -= 1
-        g["c"], g["cb"], ds = s.T @ dc / n, dc.sum(0) / n, dc @ w["c"].T
-        for c, i in groups(classes):
-            do = np.exp(log_softmax(s[i] @ w["o"][c] + w["ob"][c]))
-            do[np.arange(len(i)), y[i] % SIZE] -= 1
-            g["o"][c], g["ob"][c] = s[i].T @ do / n, do.sum(0) / n
-            ds[i] += do @ w["o"][c].T
-        at_state = np.zeros(states.shape, F32)
-        at_state[real] = ds / n
-        g["u"], dgates, dh = np.zeros_like(w["u"]), np.empty((*before.shape, 3 * HIDDEN), F32), np.zeros_like(h)
+        dc, _ = softmax(w["c"].T @ s + w["cb"][:, None])
+        dc[y // SIZE, np.arange(len(y))] -= 1
+        g["c"], g["cb"], ds = s @ dc.T, dc.sum(1), w["c"] @ dc
+        for c, a, b in runs:
+            do, _ = softmax(w["o"][c].T @ s[:, a:b] + w["ob"][c][:, None])
+            do[y[a:b] % SIZE, np.arange(b - a)] -= 1
+            g["o"][c], g["ob"][c] = s[:, a:b] @ do.T, do.sum(1)
+            ds[:, a:b] += w["o"][c] @ do
+        unsorted = np.empty_like(ds)
+        unsorted[:, order] = ds
+        at_state = np.zeros((HIDDEN, *real.shape), F32)
+        at_state[:, real] = unsorted
+        h0, gates, inner = saved
+        z, r, c = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
+        # What a change of the state is multiplied by on its way to the candidate state and both gates.
+        to_n, to_z, to_r = (1 - z) * (1 - c * c), (h0 - c) * z * (1 - z), inner * r * (1 - r)
+        dgates, da, dh, u = np.empty_like(gates), np.empty_like(gates), np.zeros_like(h), np.ascontiguousarray(w["u"])
+        renewed = fresh.any(axis=1).tolist()
         for t in reversed(range(len(before))):
-            h0, z, r, a, c = saved[t]
-            dh = dh + at_state[t]
-            dn = dh * (1 - z) * (1 - c * c)
-            d = dgates[t]
-            d[:, :HIDDEN] = dh * (h0 - c) * z * (1 - z)
-            d[:, HIDDEN : 2 * HIDDEN] = dn * a * r * (1 - r)
-            d[:, 2 * HIDDEN :] = dn
-            da = np.concatenate([d[:, : 2 * HIDDEN], dn * r], axis=1)
-            g["u"] += h0.T @ da
-            dh = dh * z + da @ w["u"].T
-            if fresh[t].any():
-                dh[fresh[t]] = 0
+            dh += at_state[:, t]
+            d, e = dgates[t], da[t]
+            dn = np.multiply(dh, to_n[t], out=d[2 * HIDDEN :])
+            np.multiply(dh, to_z[t], out=d[:HIDDEN])
+            np.multiply(dn, to_r[t], out=d[HIDDEN : 2 * HIDDEN])
+            e[: 2 * HIDDEN] = d[: 2 * HIDDEN]
+            np.multiply(dn, r[t], out=e[2 * HIDDEN :])
+            dh *= z[t]
+            dh += u @ e
+            if renewed[t]:
+                dh[:, fresh[t]] = 0
+        g["u"] = np.tensordot(h0, da, ((0, 2), (0, 2)))
+        dgates = np.ascontiguousarray(dgates.transpose(0, 2, 1))
         g["b"] = dgates.reshape(-1, 3 * HIDDEN).sum(0)
         ids = before.ravel()
         order = np.argsort(ids, kind="stable")
@@ -190,10 +228,20 @@ class Trainer:
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         g["x"] = np.zeros_like(w["x"])
         g["x"][rows[starts]] = np.add.reduceat(dgates.reshape(-1, 3 * HIDDEN)[order], starts)
-        self._step(g)
+        if self.gathered:
+            for k, x in g.items():
+                self.gathered[k] += x
+        else:
+            self.gathered = g
+        self.waiting += len(y)
         self.tokens += len(y)
         return h
 
+    def _mean(self) -> dict[str, np.ndarray]:
+        g = {k: x * F32(1 / self.waiting) for k, x in self.gathered.items()}
+        self.gathered, self.waiting = None, 0
+        return g
+
     def _step(self, g) -> None:
         self.t += 1
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
