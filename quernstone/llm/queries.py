@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk, url_filter
+from . import licences, mixing, topk, url_filter
 from .common import table
 
 
@@ -108,4 +108,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE_TOP_K, "op7_url_filter": url_filter.oracle(), "op9_mixing": mixing.ORACLE_MIX}
+ORACLES: dict[str, str] = {"op2_licences": licences.oracle(), "op5_topk": topk.ORACLE_TOP_K, "op7_url_filter": url_filter.oracle(), "op9_mixing": mixing.ORACLE_MIX}
