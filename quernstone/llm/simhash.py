@@ -357,5 +357,6 @@ def kept_documents(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     roots = fingerprint_roots(rows, text) if similarity is None else similar_roots(rows, text, shingle, similarity)
     first = F.min(F.struct("__late", "__id", "__row")).alias("first")
     stay = rows.select("__row", "__late", "__id").join(roots, F.col("__row") == F.col("row")).groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))
-    # Merged at every size: small tables then move their texts as large ones do, and no list of rows is broadcast.
-    return rows.join(durable(stay, "stay").hint("merge"), "__row", "left_semi").select(*docs.columns)
+    gone = rows.select("__row").join(stay, "__row", "left_anti")
+    # The rows that go are the smaller side: their numbers are broadcast where Spark's size check allows, and texts move once at most.
+    return rows.join(durable(gone, "gone"), "__row", "left_anti").select(*docs.columns)
