@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import durable
 from ..operators.graph import component_id, component_sizes, connected_components, nearest_rank
-from ..operators.split import PARTITIONS, best_trial, trials
+from ..operators.split import PARTITIONS, feasibility, search, selected, trials
 from .identities import PART_OF, partition_of, with_cells
 from .registry import query
 from .roles import EV, PAIRS, PE, pair_evidence, positive_pairs, table
@@ -53,16 +53,42 @@ def al06(spark, d):
     return g.agg(F.count_if("g1").alias("accepted"), F.count_if("g2").alias("full_length"), F.count("*").alias("local"))
 
 
-@query("al07_08_allocation_trials")
+def brand_sizes(spark, d):
+    return [(r.p_brand, r.n) for r in table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).collect()]  # a row for each brand
+
+
+#: A thousand allocations by recursion over the components in the order of their hashes.
+TRIALS = """WITH RECURSIVE sizes AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT range AS trial FROM range(1000)),
+o AS (SELECT trial, n, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', 1, trial, name)), name) AS i, (SELECT CAST(sum(n) AS BIGINT) FROM sizes) AS total FROM t, sizes),
+w AS (SELECT trial, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM t
+  UNION ALL
+  SELECT trial, i, a + CASE WHEN z <= greatest(x, y) AND y <= x THEN n ELSE 0 END, b + CASE WHEN z <= greatest(x, y) AND y > x THEN n ELSE 0 END, c + CASE WHEN z > greatest(x, y) THEN n ELSE 0 END
+  FROM (SELECT w.trial, o.i, a, b, c, n, (70 * total - 100 * a) * 15 AS x, (15 * total - 100 * b) * 70 AS y, (15 * total - 100 * c) * 70 AS z FROM w JOIN o ON o.trial = w.trial AND o.i = w.i + 1)),
+r AS (SELECT trial, a AS train, b AS development, c AS test FROM w WHERE i = (SELECT count(*) FROM sizes))"""
+
+
+@query("al07_08_allocation_trials", f"{TRIALS} SELECT * FROM r")
 def al07(spark, d):
-    sizes = [(r.p_brand, r.n) for r in table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).collect()]  # a row for each brand
-    return trials(spark, sizes, 1000)
+    return trials(spark, brand_sizes(spark, d), 1000)
+
+
+@query("al08_feasibility", f"""{TRIALS}, p AS (SELECT *, train + development + test AS total FROM r),
+q AS (SELECT *, abs(100 * train - 70 * total) <= 3 * total AS x, abs(100 * development - 15 * total) <= 3 * total AS y, abs(100 * test - 15 * total) <= 3 * total AS z FROM p)
+SELECT count(*) AS trials, count_if(x) AS train_passes, count_if(y) AS development_passes, count_if(z) AS test_passes, count_if(x AND y AND z) AS passes,
+  min(train) AS train_least, max(train) AS train_most, min(development) AS development_least, max(development) AS development_most, min(test) AS test_least, max(test) AS test_most,
+  CASE WHEN 100 * count_if(x AND y AND z) >= 95 * count(*) THEN 'robust' WHEN count_if(x AND y AND z) > 0 THEN 'feasible' ELSE 'infeasible' END AS status FROM q""")
+def al08(spark, d):
+    return feasibility(trials(spark, brand_sizes(spark, d), 1000))
+
+
+def candidate_results(spark, d):
+    return search(durable(components(spark, d)), durable(positive_pairs(spark, d)), 4096, {"pairs": 50, "components": 20, "source": 10})
 
 
 @query("al09_candidate_search")
 def al09(spark, d):
-    sizes = [(r.p_brand, r.n) for r in table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).collect()]
-    return best_trial(trials(spark, sizes, 4096, seed=9), sum(n for _, n in sizes))
+    """The valid candidate of the least objective among 4096; tests hold the criteria and the objective."""
+    return selected(candidate_results(spark, d))
 
 
 @query("al10_opportunity_counts", f"{PAIRS}, q AS (SELECT {PART_OF.format('a')} AS qa, {PART_OF.format('b')} AS qb FROM pp) SELECT count_if(qa = 'train' AND qb = 'train') AS c1, count_if((qa = 'train') <> (qb = 'train')) AS c2, count_if(qa <> 'train' AND qb = qa) AS c3 FROM q")

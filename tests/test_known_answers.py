@@ -11,7 +11,7 @@ from quernstone.operators import metrics as M
 from quernstone.operators.graph import connected_components, degree_summary
 from quernstone.operators.reconcile import multiset_match, route_cascade
 from quernstone.operators.sampling import bottom_hash_sample, design, hamilton, hamilton_table
-from quernstone.operators.split import allocate, stride_of
+from quernstone.operators.split import allocate, trial_order
 
 
 def one(spark, *columns):
@@ -148,9 +148,9 @@ def test_degree_summary(spark):
 
 
 def test_allocation_of_singletons():
-    offset, stride = stride_of(100, 1, 17)
-    assert sorted((offset + i * stride) % 100 for i in range(100)) == list(range(100))
-    got = allocate([1] * 100, list(range(100)))
+    order = trial_order([f"c{i}" for i in range(100)], 1, 17)
+    assert sorted(order) == list(range(100)) and order != list(range(100))
+    got = allocate([1] * 100, order)
     assert [got.count(k) for k in range(3)] == [70, 15, 15]
 
 
