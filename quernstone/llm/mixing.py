@@ -59,8 +59,14 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target (of its source), copies (int) and taken (size x copies)."""
-    docs = sized(docs.withColumn("__source", F.col(source).cast("string")), text, seed).withColumn("__bucket", F.substring("key", 1, BUCKET_DIGITS))
+    """docs with size, source_size, target (of its source), copies (int) and taken (size x copies).
+
+    Columns of docs with these five names give way, all others stay as they are, whatever their names.
+    """
+    made = ("size", "source_size", "target", "copies", "taken")
+    names = [c for c in docs.columns if c not in made]
+    docs = docs.select("doc_id", F.col(text).alias("__text"), F.col(source).cast("string").alias("__source"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"))
+    docs = sized(docs, "__text", seed).withColumn("__bucket", F.substring("key", 1, BUCKET_DIGITS))
     slim = durable(docs.select(F.col("__source").alias("source"), F.col("__bucket").alias("bucket"), "key", "size"), "mix-sizes")
     buckets = durable(slim.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     plan = water_fill(buckets.groupBy("source").agg(F.sum("n").alias("source_size")))
@@ -92,10 +98,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: str =
     cuts = durable(cuts.join(turned, same("p_source", "t_source"), "left").drop("t_source"), "mix-cuts")
     more = more != (F.col("key").eqNullSafe(F.col("turned_key")))
 
-    names = [c for c in docs.columns if not c.startswith("__") and c not in ("key", "source_size", "target", "copies", "taken")]
-    out = docs.select(*names, "key", "__source", "__bucket").join(cuts, same("__source", "p_source"))
+    out = docs.select("__row", "size", "key", "__source", "__bucket").join(cuts, same("__source", "p_source"))
     out = out.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0))
-    return out.select(*names, "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select(*(F.col("__row")[c].alias(c) for c in names), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE_MIX = r"""

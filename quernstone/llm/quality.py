@@ -170,11 +170,15 @@ def as_column(rules: list[list[tuple[int, str, float]]]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     """docs with COUNTS, base_failed, rule (the number of the learned rule that rejects it) and kept.
 
-    docs has doc_id and text, labels doc_id and quality (0: bad).
+    docs has doc_id and text, labels doc_id and quality (0: bad). Columns of docs with the names of the verdicts give way,
+    all others stay as they are, whatever their names.
     """
+    made = (*COUNTS, "base_failed", "rule", "kept")
     rules = learn(*labelled_sample(docs, labels, bound))
-    out = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", as_column(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*[f for f in FEATURES if f not in COUNTS])
+    own = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    out = statistics(own).withColumn("base_failed", base_failed()).withColumn("rule", as_column(rules))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return out.select(*(F.col("__row")[c].alias(c) for c in docs.columns if c not in made), *made)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
