@@ -107,3 +107,21 @@ def translate_cds(sequence: Column) -> Column:
     )
     protein = F.regexp_replace(F.array_join(known, ""), r"\*$", "")
     return F.when(F.contains(protein, F.lit("*")), F.raise_error("a stop inside a coding sequence").cast("string")).otherwise(protein)
+
+
+def reported_outcome(score: Column, confirmed_positive: Column, confirmed_negative: Column) -> Column:
+    """The outcome that a raw score and the sequence confirmations for a positive and for a negative call are reported as; other tokens fail."""
+
+    def token(x):
+        t = F.trim(x)
+        return F.when(t.isin("", "nan", "NaN", "NULL", "None"), F.lit(None)).otherwise(t)
+
+    def confirmed(x):
+        t = token(x)
+        known = F.when(t.isin("1", "1.0", "True", "true"), True).when(t.isNull() | t.isin("0", "0.0", "False", "false"), False)
+        return known.otherwise(F.raise_error(F.concat(F.lit("unexpected confirmation: "), x)).cast("boolean"))
+
+    s, failed = token(score), F.lit("Failed sequence confirmation")
+    out = F.when(s == "AA", "Autoactivator").when(s.isNull(), "Test failed")
+    out = out.when(s.isin("0", "0.0"), F.when(confirmed(confirmed_negative), "Negative").otherwise(failed)).when(s.isin("1", "1.0"), F.when(confirmed(confirmed_positive), "Positive").otherwise(failed))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unexpected score: "), score)).cast("string"))

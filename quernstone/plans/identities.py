@@ -301,7 +301,7 @@ def fn21(spark, d):
     return table(spark, d, "nation").select("n_nationkey", X.tri_state(pick(" Yes", "no", "", "1", "FALSE")).alias("flag"), X.optional_number(pick("-", "1.5", "None", "", "7")).alias("num"), F.regexp_replace(F.concat("n_nationkey", F.lit(".0")), r"\.0$", "").alias("orf"))
 
 
-@query("fn24_translation")
+@query("fn24_translation", "SELECT s_suppkey, concat('M', ['K', 'A', 'W', 'R'][s_suppkey % 4 + 1], ['K', 'A', 'W', 'R'][(s_suppkey + 1) % 4 + 1], ['K', 'A', 'W', 'R'][(s_suppkey + 5) % 4 + 1]) AS protein FROM supplier")
 def fn24(spark, d):
     """Proteins of coding sequences spelled from the suppliers' keys, ATG first and a stop last."""
     codon = lambda i: F.element_at(F.array(*map(F.lit, ("AAA", "GCT", "TGG", "CGA"))), ((F.col("s_suppkey") + i) % 4 + 1).cast("int"))

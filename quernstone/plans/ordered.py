@@ -74,7 +74,10 @@ def wn07(spark, d):
     return g.select("l_discount", F.round(F.sum("w").over(W.orderBy("l_discount").rowsBetween(W.unboundedPreceding, 0)), 3).alias("upto"))
 
 
-@query("wn10_greedy_packing")
+@query("wn10_greedy_packing", """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i FROM conversations),
+w AS (SELECT conv_id, turn, i, 0 AS batch, n AS held FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.turn, t.i, CASE WHEN held > 0 AND held + t.n > 600 THEN batch + 1 ELSE batch END, CASE WHEN held > 0 AND held + t.n > 600 THEN t.n ELSE held + t.n END FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1)
+SELECT conv_id, turn, batch FROM w""")
 def wn10(spark, d):
     """Batches of a conversation's turns by running length, a new one where the next turn would overflow 600 characters."""
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
