@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = tempfile.mkdtemp(prefix="quernstone-")
         atexit.register(shutil.rmtree, shared_dir.own, True)

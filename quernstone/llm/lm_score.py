@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent as R
-from .common import SPACES, durable, lower_ascii, quiet_worker, slices
+from .common import durable, quiet_worker, slices
 
 #: Words that are outputs of their own (with the end), bucket outputs, words with broadcast counts and their longest spelling in bytes.
 OUTPUTS, BUCKETS, TIER, SPELLING = 1024, 64, 131_072, 64
@@ -46,11 +46,24 @@ def bucket(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
+def lowered_words(texts: list[str]) -> pa.Array:
+    """The lower-cased words of each text (A-Z only), split at the six ASCII white-space characters; one empty piece where there is none."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.string()))))
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word and c over all rows of docs; the end of a document is the empty word."""
-    words = F.split(F.translate(lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), SPACES, " " * len(SPACES)), " ")
-    every = F.array_append(F.filter(words, lambda w: w != ""), F.lit(""))
-    return docs.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """word and c over all rows of docs; the end of a document is the empty word. Words are counted slice by slice before they are dealt out."""
+
+    def count(batches):
+        quiet_worker()
+        for batch in batches:
+            for _, texts in slices(batch, 0, SLICE_CHARS, SLICE_ROWS):
+                found = lowered_words(texts).flatten().value_counts()
+                words, n = found.field("values"), found.field("counts")
+                real = pc.not_equal(words, "")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.filter(real), pa.array([""])]), pa.concat_arrays([n.filter(real), pa.array([len(texts)], pa.int64())])], names=["word", "n"])
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 class Vocabulary:
@@ -79,8 +92,7 @@ class Vocabulary:
 
     def numbers(self, texts: list[str]) -> "Numbered":
         """The output ids of the texts' tokens, ends included, and what scoring needs of their words."""
-        lowered = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
-        split = pc.ascii_split_whitespace(lowered)
+        split = lowered_words(texts)
         every = split.flatten().dictionary_encode()
         distinct, codes = every.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy()
         owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
