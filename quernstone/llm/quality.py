@@ -41,8 +41,8 @@ def removed(text: Column, characters: str) -> Column:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with COUNTS (long) and FEATURES (double, but n_words) of each whole text.
 
-    n_repeat_words goes by 64-bit hashes of the three-word windows, which are sorted within a text only where
-    two are equal; the words that repeated windows cover count once.
+    n_repeat_words finds three-word windows of equal 64-bit hashes, sorted within a text only where two are equal, and
+    then compares their words, so a collision of hashes counts nothing; the words that repeated windows cover count once.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = docs.withColumn("__text", t)
@@ -56,7 +56,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     near = lambda k: F.coalesce(F.get(F.col("__sorted"), k)["h"], F.lit(None).cast("bigint"))
     twice = F.array_compact(F.transform("__sorted", lambda x, k: F.when((F.when(k > 0, near(k - 1)) == x["h"]) | (near(k + 1) == x["h"]), x["i"])))
     df = df.withColumn("__twice", twice)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("__twice", lambda p: F.array(p, p + 1, p + 2)))))
+    df = df.withColumn("__spelled", F.sort_array(F.transform("__twice", lambda i: F.struct(F.array(word(i), word(i + 1), word(i + 2)).alias("w"), i.alias("i")))))
+    same = lambda x, k: F.coalesce(F.get(F.col("__spelled"), k)["w"] == x["w"], F.lit(False))
+    repeated = F.filter("__spelled", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
     df = df.withColumns({
         "n_words": F.col("__n").cast("long"),
         "word_chars": F.length(removed(F.col("__text"), SPACES)).cast("long"),
@@ -77,7 +80,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "marks_per_word": share(dropped(".,;:!?"), n),
         "distinct_share": share(F.size(F.array_distinct("__words")), n),
     })
-    return df.drop("__text", "__words", "__n", "__lines", "__h", "__sorted", "__twice")
+    return df.drop("__text", "__words", "__n", "__lines", "__h", "__sorted", "__twice", "__spelled")
 
 
 def base_failed() -> Column:

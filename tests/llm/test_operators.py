@@ -131,6 +131,15 @@ def test_quality_statistics_and_rules(spark, docs, empty):
     assert quality.learn([], []) == []
 
 
+def test_repeated_words_with_colliding_hashes(spark, docs, monkeypatch):
+    """Windows of equal hashes and different words are not repeats, even where they stand between repeats."""
+    texts = DOCS + [(50, "a b c x y z a b c"), (51, "a b c d e f g h i"), (52, "p q r s t u p q r v w x s t u"), (53, "long short long short long short " * 400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *words: F.length(words[0]).cast("long"))
+    got = quality.statistics(df).collect()
+    assert Counter((r.doc_id, r.n_repeat_words) for r in got) == Counter((i, plain_statistics(x)[4]) for i, x in texts)
+
+
 def test_licences(spark, docs, empty):
     word = re.compile(licences.WORD)
     want = Counter()
