@@ -111,24 +111,20 @@ def forest(cells: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cell_links(batches):
-    """Rows (cell, fp) sorted by cell -> (a, b, met): verified edges, or (bit pattern, point, true) of a full cell. Holds HEAVY rows over."""
+    """Rows (cell, fp) sorted by cell -> (a, b, met): verified edges, or (point, point, true) of a full cell. Holds HEAVY rows over."""
     held_c, held_f, heavy = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
     def out(a, b, met):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), met))], names=["a", "b", "met"])
 
-    def spread(f):
-        near = np.concatenate([f, *(f ^ np.array(1 << k, np.uint64).view(np.int64) for k in range(64))])
-        return out(near, np.tile(f, 65), True)
-
     def whole(c, f):
         nonlocal heavy
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[starts, len(c)])
         full = (sizes > HEAVY) | (c[starts] == heavy if heavy is not None else False)
         in_full = np.repeat(full, sizes)
-        for i in range(0, int(in_full.sum()), 4096):
-            yield spread(f[in_full][i : i + 4096])
+        if in_full.any():
+            yield out(f[in_full], f[in_full], True)
         c, f = c[~in_full], f[~in_full]
         if edges := forest(c, f):
             a, b = np.array(edges).T
@@ -142,12 +138,20 @@ def cell_links(batches):
         held_c, held_f = c[last:], f[last:]
         if len(held_c) > HEAVY or (len(held_c) and held_c[0] == heavy):
             heavy = int(held_c[0])
-            for i in range(0, len(held_f), 4096):
-                yield spread(held_f[i : i + 4096])
+            yield out(held_f, held_f, True)
             held_c, held_f = held_c[:0], held_f[:0]
     yield from whole(held_c, held_f)
 
 
+def patterns(batches):
+    """Points -> (pattern, point) for the 65 bit patterns at most one bit away."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            f = batch.column(0).slice(at, 4096).to_numpy()
+            near = np.concatenate([f, *(f ^ np.array(1 << k, np.uint64).view(np.int64) for k in range(64))])
+            yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.tile(f, 65))], names=["pattern", "point"])
+
+
 def links(points: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) with the components of all links of up to APART bits."""
 
@@ -161,9 +165,10 @@ def links(points: DataFrame) -> DataFrame:
     cells = points.select("fp").mapInArrow(file, "cell long, fp long")
     found = durable(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(cell_links, "a long, b long, met boolean"), "simhash-links")
     edges = found.where("not met").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = found.where("met").select("a", "b").distinct()
-    least = met.groupBy("a").agg(F.min("b").alias("least"))
-    return edges.union(met.join(least, "a").where("b <> least").select(F.col("least").alias("a"), "b")).distinct()
+    # A point of many full cells is spread once.
+    met = found.where("met").select("a").distinct().mapInArrow(patterns, "pattern long, point long")
+    least = met.groupBy("pattern").agg(F.min("point").alias("least"))
+    return edges.union(met.join(least, "pattern").where("point <> least").select(F.col("least").alias("a"), F.col("point").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
