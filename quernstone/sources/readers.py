@@ -52,6 +52,48 @@ def pair_list(spark: SparkSession, path: str) -> DataFrame:
     return numbered(rows, ["a", "b"], "at").drop("at")
 
 
+#: The sets of non-interacting pairs, with their kind of evidence and parent set, and the header of the structural ones.
+NEGATIVE_SETS = {
+    "manual": ("manual_experimental_negative", "manual"),
+    "manual_stringent": ("manual_experimental_negative", "manual"),
+    "pdb": ("structure_derived_noncontact", "pdb"),
+    "pdb_stringent": ("structure_derived_noncontact", "pdb"),
+}
+NEGATIVE_HEADER = "#ProteinA\tProteinB\tPDB_Code\tevidence"
+
+
+def negative_pairs(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """Rows of a four-field table of non-interacting pairs, numbered within their file; a row of another form fails the job.
+
+    The third field is a PubMed or PMC number in the manual sets; in the structural ones, which begin with a header, it is a list
+    of structures. Files are small and read whole, one by a task, as the numbers follow their lines.
+    """
+    if dataset not in NEGATIVE_SETS:
+        raise ValueError(f"unknown set {dataset}")
+    family, parent = NEGATIVE_SETS[dataset]
+    headed = parent == "pdb"
+    bad = lambda text: F.raise_error(F.concat(F.lit(f"{dataset} row "), F.col("ordinal").cast("string"), F.lit(f": {text}")))
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    if headed:
+        lines = F.when(F.get(lines, F.lit(0)) == NEGATIVE_HEADER, F.slice(lines, 2, F.size(lines))).otherwise(F.raise_error(F.lit(f"{dataset}: another header")).cast("array<string>"))
+    rows = spark.read.text(path, wholetext=True).where("value <> ''").select(F.posexplode(lines).alias("at", "line")).select((F.col("at") + 1).alias("ordinal"), F.split("line", "\t", -1).alias("f"))
+    whole = (F.size("f") == 4) & ~F.exists("f", lambda x: x == "")
+    rows = rows.select("ordinal", F.when(whole, F.col("f")).otherwise(bad("needs four fields").cast("array<string>")).alias("f"))
+    a, b, third, assay = (F.get("f", F.lit(i)) for i in range(4))
+    none = F.array().cast("array<string>")
+    if headed:
+        ids = F.filter(F.transform(F.split(third, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+        publications, structures = none, F.when(F.size(ids) > 0, ids).otherwise(bad("names no structure").cast("array<string>"))
+    else:
+        known = F.when(third.rlike("^[0-9]+$"), F.concat(F.lit("pubmed:"), third)).when(third.rlike("^PMC[0-9]+$"), F.concat(F.lit("pmc:"), third))
+        publications, structures = F.array(F.coalesce(known, bad("names no publication").cast("string"))), none
+    term = F.nullif(F.regexp_extract(F.trim(assay), r"^(MI:\d{4})\s*(?:-|\s)", 1), F.lit(""))
+    return rows.select(
+        F.lit(dataset).alias("dataset"), F.lit(family).alias("evidence_family"), F.lit(parent).alias("parent_dataset"), "ordinal", a.alias("accession_a"), b.alias("accession_b"), third.alias("field_3"),
+        assay.alias("assay_text"), publications.alias("publication_ids"), structures.alias("pdb_ids"), term.alias("assay_mi_ac"), F.concat(F.lit("line:"), F.col("ordinal") + int(headed)).alias("raw_locator"),
+    )
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """header and sequence of each record; records split at a line that begins with >."""
     record = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>|\n$", "").alias("v"))

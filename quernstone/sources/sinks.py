@@ -17,10 +17,11 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(df: DataFrame, path: str, contract=None, order: list[str] | None = None) -> None:
+def publish(df: DataFrame, path: str, contract=None, order: list[str] | None = None, rows_per_part: int = 0) -> None:
     """Write to a sibling folder and rename it: readers see all of the table or none. An existing table is an error.
 
-    Violations of the contract fail before anything is published; ``order`` ranges the rows over the parts in order.
+    Violations of the contract fail before anything is published; ``order`` ranges the rows over the parts in order, and
+    ``rows_per_part`` bounds their rows (0: no bound).
     """
     from ..operators.contracts import assert_valid
 
@@ -34,17 +35,42 @@ def publish(df: DataFrame, path: str, contract=None, order: list[str] | None = N
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     temp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(temp)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_part).parquet(temp)
     if not fs.rename(_path(spark, temp)[1], final):
         raise OSError(f"{temp} could not be renamed")
 
 
+def part_digests(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, file_size, sha256 of the contents and rows of each part of a written table; parts are digested where they are read."""
+    name = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(name.alias("file_name"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file_name")).groupBy("file_name").agg(F.count("*").alias("rows"))
+    return files.join(rows, "file_name", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
 def manifest(spark: SparkSession, path: str, **notes) -> dict:
-    """Rows, parts and bytes of a written table, with a digest over them."""
-    df = spark.read.parquet(path)
-    parts = df.select("_metadata.file_name", "_metadata.file_size").groupBy("file_name", "file_size").count().orderBy("file_name").collect()
-    body = {"rows": sum(p["count"] for p in parts), "parts": [[p.file_name, p.file_size, p["count"]] for p in parts], "schema": df.schema.jsonValue(), **notes}
-    return body | {"sha256": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()}
+    """Rows, schema and parts (name, bytes, rows, digest of the contents) of a written table; sha256 goes by contents, not by the parts' random names.
+
+    A row for each file comes to the driver.
+    """
+    parts = part_digests(spark, path).orderBy("file_name").collect()
+    body = {"rows": sum(p.rows for p in parts), "schema": spark.read.parquet(path).schema.jsonValue(), **notes}
+    contents = body | {"contents": sorted([p.sha256, p.file_size, p.rows] for p in parts)}
+    digest = hashlib.sha256(json.dumps(contents, sort_keys=True).encode()).hexdigest()
+    return body | {"parts": [[p.file_name, p.file_size, p.rows, p.sha256] for p in parts], "sha256": digest}
+
+
+def manifest_differences(spark: SparkSession, path: str, document: dict) -> DataFrame:
+    """(file_name, problem) of a table against its manifest: missing, unlisted, size, rows or content. No rows: the table is as it was."""
+    if spark.read.parquet(path).schema.jsonValue() != document["schema"]:
+        raise ValueError(f"{path} has another schema than its manifest")
+    if len({p[0] for p in document["parts"]}) != len(document["parts"]):
+        raise ValueError("the manifest names a part twice")
+    listed = spark.createDataFrame([tuple(p) for p in document["parts"]], "file_name string, size_then long, rows_then long, sha256_then string")
+    j = part_digests(spark, path).join(listed, "file_name", "full_outer")
+    problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256_then").isNull(), "unlisted").when(F.col("file_size") != F.col("size_then"), "size")
+    problem = problem.when(F.col("rows") != F.col("rows_then"), "rows").when(F.col("sha256") != F.col("sha256_then"), "content")
+    return j.select("file_name", problem.alias("problem")).where("problem is not null")
 
 
 def fasta_lines(df: DataFrame, header: str = "header", sequence: str = "sequence", width: int = 80) -> DataFrame:

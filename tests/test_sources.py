@@ -99,6 +99,36 @@ def test_contracts(spark, tmp_path):
     assert ledger.verdict() == "warning"
 
 
+def test_negative_pairs(spark, tmp_path):
+    manual = put(tmp_path, "m.txt", "A1\tB1\t123\tMI:0019 - coip\nA2\tB2\tPMC77\tother\n")
+    rows = readers.negative_pairs(spark, manual, "manual").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.accession_a, r.publication_ids, r.pdb_ids, r.assay_mi_ac, r.raw_locator) for r in rows] == [(1, "A1", ["pubmed:123"], [], "MI:0019", "line:1"), (2, "A2", ["pmc:PMC77"], [], None, "line:2")]
+    structural = put(tmp_path, "p.txt", "#ProteinA\tProteinB\tPDB_Code\tevidence\nA\tB\t1ABC, 2xyz,\tseen\n")
+    r = readers.negative_pairs(spark, structural, "pdb_stringent").first()
+    assert (r.evidence_family, r.parent_dataset, r.pdb_ids, r.publication_ids, r.raw_locator) == ("structure_derived_noncontact", "pdb", ["1abc", "2xyz"], [], "line:2")
+    assert readers.negative_pairs(spark, put(tmp_path, "e.txt", ""), "manual").collect() == []
+    for name, text, kind in (("x", "A\tB\t12\n", "manual"), ("y", "A\tB\tx9\ty\n", "manual"), ("z", "A\tB\t1abc\ty\n", "pdb")):
+        with pytest.raises(Exception):
+            readers.negative_pairs(spark, put(tmp_path, name, text), kind).collect()
+    with pytest.raises(ValueError):
+        readers.negative_pairs(spark, manual, "other")
+
+
+def test_manifest_by_contents(spark, tmp_path):
+    path, again = str(tmp_path / "t"), str(tmp_path / "u")
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
+    for p in (path, again):
+        sinks.publish(df, p, order=["id"], rows_per_part=30)
+    one, two = sinks.manifest(spark, path), sinks.manifest(spark, again)
+    assert one["rows"] == 100 and max(p[2] for p in one["parts"]) <= 30 and one["sha256"] == two["sha256"]
+    assert sinks.manifest_differences(spark, path, one).collect() == []
+    changed = one | {"parts": [["gone.parquet", 1, 1, "x"], [*one["parts"][0][:3], "x"], *one["parts"][2:]]}
+    found = {r.file_name: r.problem for r in sinks.manifest_differences(spark, path, changed).collect()}
+    assert found == {"gone.parquet": "missing", one["parts"][0][0]: "content", one["parts"][1][0]: "unlisted"}
+    with pytest.raises(ValueError):
+        sinks.manifest_differences(spark, path, one | {"parts": one["parts"] + one["parts"]})
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from quernstone.streaming.events import stream_of, windowed_counts
 
