@@ -25,4 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/quernstone/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``durable`` that no later step reads."""
+    jvm, path = df.sparkSession._jvm, df.written_to
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
