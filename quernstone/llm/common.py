@@ -41,7 +41,16 @@ def durable(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/quernstone/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``durable`` that no later step reads: what was made of them is written too."""
+    for t in tables:
+        folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def lower_ascii(col):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import discard, durable, slices
 
 #: Bits apart that link, words in a shingle, seed of XXH64; segments of the embedding; points in a cell that are paired.
 APART, SHINGLE, SEED = 2, 3, 42
@@ -175,7 +175,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, root the least node of its component, by alternating stars.
 
     A large star hangs a node's larger neighbours on its least one, a small star its smaller ones and itself; the
-    edges stop changing after a logarithmic number of rounds. Each round is a written table.
+    edges stop changing after a logarithmic number of rounds. Each round is a written table, and the one before it goes.
     """
     edges = durable(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v"), "cc-edges")
     before = None
@@ -186,7 +186,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").union(small.select("v", F.col("m").alias("u"))).distinct()
-        edges = durable(small, "cc-edges")
+        done, edges = edges, durable(small, "cc-edges")
+        discard(done)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
@@ -331,11 +332,14 @@ def similar_roots(rows: DataFrame, text: str, shingle: int, similarity: float) -
     met = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"))
     met = durable(met.where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     asked = durable(filed.join(met, "bucket").select("bucket", "row"), "bucket-members")
+    discard(met)
     wanted = durable(asked.select("row").distinct(), "wanted")
     sets = durable(shingle_sets(rows, text, shingle, wanted).join(points.select("row", "rank"), "row"), "shingle-sets")
     full = asked.join(sets, "row").repartition("bucket").sortWithinPartitions("bucket", "rank").select("bucket", "row", "members")
     edges = durable(full.mapInArrow(bucket_links(similarity), "a long, b long"), "shingle-links")
+    discard(asked, wanted, sets)
     roots = components(edges)
+    discard(edges)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     point = points.select("digest", F.col("row").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return banded.select("row", "digest").join(point, "digest").select("row", "root")
