@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, topk, url_filter
+from . import conversations, decontaminate, kmeans, licences, mixing, topk, url_filter
 from .common import table
 
 
@@ -95,6 +95,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document inside ten-word windows of benchmark items, by the prefix-filtered join."""
+    from .decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen centroids over three rounds by kd-tree filtering: every vector's cluster and distance."""
+    from .kmeans import cluster, summarised
+
+    return summarised(*cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations, merged from partial tries."""
+    from .conversations import prefix_trie
+
+    found = prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licences": op2_licences,
@@ -106,6 +130,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_store": op8_store,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_decontamination": op11_decontamination,
+    "op12_kmeans": op12_kmeans,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLES: dict[str, str] = {"op2_licences": licences.oracle(), "op5_topk": topk.ORACLE_TOP_K, "op7_url_filter": url_filter.oracle(), "op9_mixing": mixing.ORACLE_MIX}
+ORACLES: dict[str, str] = {
+    "op2_licences": licences.oracle(), "op5_topk": topk.ORACLE_TOP_K, "op7_url_filter": url_filter.oracle(), "op9_mixing": mixing.ORACLE_MIX,
+    "op11_decontamination": decontaminate.ORACLE, "op12_kmeans": kmeans.oracle(), "op13_conversations": conversations.ORACLE,
+}
