@@ -35,8 +35,8 @@ from .common import discard, durable, slices
 APART, SHINGLE, SEED = 2, 3, 42
 SEGMENTS, HEAVY = 32, 32
 BITS = 64 // SEGMENTS
-#: Bands of least hashes and hashes in a band; members of a bucket that are compared with every later one; bits of the pattern of rows to read.
-BANDS, BAND, FULL, FILTER = 32, 4, 256, 2**26
+#: Bands of least hashes and hashes in a band; members of a bucket in a block; bits of the pattern of rows to read.
+BANDS, BAND, BLOCK, FILTER = 32, 4, 256, 2**26
 
 
 def fingerprints_of(texts: list[str]) -> np.ndarray:
@@ -274,54 +274,131 @@ def shingle_sets(rows: DataFrame, text: str, shingle: int, wanted: DataFrame) ->
     return read.mapInArrow(work, "row long, members array<long>").join(wanted, "row", "left_semi")
 
 
-def bucket_links(similarity: float):
-    """Rows (bucket, row, members) sorted by bucket and rank -> verified edges (a, b).
+def similar(x: np.ndarray, y: np.ndarray, share: Fraction) -> bool:
+    """Whether two sets have at least that share of their union in common."""
+    if min(len(x), len(y)) * share.denominator < max(len(x), len(y)) * share.numerator:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * share.denominator >= (len(x) + len(y) - common) * share.numerator
 
-    A point meets all points before it that aren't linked to it yet; behind the first FULL of a bucket, those that have no link
-    to an earlier one. The first point of a component is such a point, so the first points of two components are never similar.
-    """
-    share = Fraction(str(similarity))
 
-    def similar(x, y):
-        if min(len(x), len(y)) * share.denominator < max(len(x), len(y)) * share.numerator:
-            return False
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return common * share.denominator >= (len(x) + len(y) - common) * share.numerator
+def block_links(share: Fraction):
+    """Rows (bucket, block, blocks, row, members) sorted by bucket and block -> (a, b) verified, and (bucket, common) for buckets of several blocks.
+
+    In a block every pair is verified that isn't joined by its links so far. common: the members that two or more sets of a full bucket's first block
+    have, which stands for the frequent ones of the bucket.
+    """
 
     def work(batches):
-        bucket, held, group, size = None, [], {}, 0  # held: row, set, stands without a link to an earlier one
+        place, held, group, several = None, [], {}, False
+
+        def common():
+            if place is None or place[1] or not several:
+                return []
+            members, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for _, x in held)]), return_counts=True)
+            return [(place[0], members[n > 1])]
+
+        def out(a, b, found):
+            n, m = len(a), len(found)
+            both = lambda x, y: pa.array([*x, *y], pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [both(a, [None] * m), both(b, [None] * m), both([None] * n, [c for c, _ in found]), pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), lists([x for _, x in found])])], names=["a", "b", "bucket", "common"]
+            )
+
         for batch in batches:
-            buckets, numbers, offsets, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            a, b = [], []
-            for i, (c, row) in enumerate(zip(buckets, numbers)):
-                if c != bucket:
-                    bucket, held, group, size = c, [], {}, 0
-                if size == FULL:
-                    held = [h for h in held if h[2]]
-                x, linked = values[offsets[i] : offsets[i + 1]], False
+            buckets, blocks, many, numbers = (batch.column(c).to_pylist() for c in range(4))
+            offsets, values = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+            a, b, found = [], [], []
+            for i, (c, k, n, row) in enumerate(zip(buckets, blocks, many, numbers)):
+                if (c, k) != place:
+                    found += common()
+                    place, held, group, several = (c, k), [], {}, n > 1
+                x = values[offsets[i] : offsets[i + 1]]
                 group[row] = {row}
-                for other, y, _ in held:
-                    if other not in group[row] and similar(x, y):
-                        linked = True
+                for other, y in held:
+                    if other not in group[row] and similar(x, y, share):
                         a.append(other)
                         b.append(row)
-                        if size < FULL:
-                            joined = group[row] | group[other]
-                            group.update(dict.fromkeys(joined, joined))
-                size += 1
-                if size <= FULL:
-                    held.append((row, x.copy(), not linked))
-                else:
-                    del group[row]
-                    if not linked:
-                        held.append((row, x.copy(), True))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                        joined = group[row] | group[other]
+                        group.update(dict.fromkeys(joined, joined))
+                held.append((row, x.copy()))
+            yield out(a, b, found)
+        yield out([], [], common())
 
     return work
 
 
+def prefixes(share: Fraction):
+    """Rows (bucket, block, row, label, members, common), the row of common first in its block -> (bucket, member, row, label, size, place, filed).
+
+    A set is put in order, members in common last. Of two similar sets the larger one (of equal ones that of the larger row) has a member of the other
+    among its first size - share * size + 1, and the smaller one a member of that among its first size - 2 share / (1 + share) * size + 1: these are filed.
+    """
+    both = 2 * share / (1 + share)
+
+    def first(n, of):
+        return n - -(-n * of.numerator // of.denominator) + 1
+
+    def work(batches):
+        place, common = None, np.zeros(0, np.int64)
+        for batch in batches:
+            buckets, blocks, numbers, labels = (batch.column(c).to_pylist() for c in range(4))
+            rows = {k: [] for k in ("bucket", "member", "row", "label", "size", "place", "filed")}
+            for i, (c, k, row, label) in enumerate(zip(buckets, blocks, numbers, labels)):
+                if (c, k) != place:
+                    place, common = (c, k), np.zeros(0, np.int64)
+                if row is None:
+                    common = np.array(batch.column(5)[i].values.to_numpy())
+                    continue
+                x = batch.column(4)[i].values.to_numpy()
+                frequent = np.isin(x, common, assume_unique=True)
+                n, probe, index = len(x), first(len(x), share), first(len(x), both)
+                own = np.concatenate([x[~frequent], x[frequent]])[:probe]
+                for name, v in (("bucket", np.full(len(own), c)), ("member", own), ("row", np.full(len(own), row)), ("label", np.full(len(own), label)), ("size", np.full(len(own), n)), ("place", np.arange(len(own))), ("filed", np.arange(len(own)) < index)):
+                    rows[name].append(v)
+                if len(rows["row"]) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in rows.values()], names=list(rows))
+                    rows = {k: [] for k in rows}
+            if rows["row"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in rows.values()], names=list(rows))
+
+    return work
+
+
+def links_across(asked: DataFrame, sets: DataFrame, common: DataFrame, edges: DataFrame, share: Fraction) -> DataFrame:
+    """Verified (a, b) between the blocks of full buckets whose members aren't of one component by the edges so far.
+
+    asked: bucket, block, blocks, row; only members of different components are paired.
+    """
+    roots = components(edges)
+    roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().toDF("row", "root")
+    stored = durable(asked.where("blocks > 1").join(roots, "row", "left").withColumn("label", F.coalesce("root", "row")).select("bucket", "block", "row", "label"), "full-buckets")
+    mixed = stored.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
+    full = stored.join(mixed, "bucket")
+    none = F.lit(None)
+    shared = full.select("bucket", "block").distinct().join(common, "bucket")  # a row for each block
+    shared = shared.select("bucket", "block", none.cast("long").alias("row"), none.cast("long").alias("label"), none.cast("array<long>").alias("members"), "common")
+    members = full.join(sets.select("row", "members"), "row").select("bucket", "block", "row", "label", "members", none.cast("array<long>").alias("common"))
+    sorted_ = members.union(shared).repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.col("row").asc_nulls_first())
+    filed = durable(sorted_.mapInArrow(prefixes(share), "bucket long, member long, row long, label long, size long, place long, filed boolean"), "prefixes")
+    one, other = filed.where("filed"), filed.select("bucket", "member", *(F.col(c).alias(f"other_{c}") for c in ("row", "label", "size", "place")))
+    n, d = F.lit(share.numerator), F.lit(share.denominator)
+    least = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    met = one.join(other, ["bucket", "member"]).where(
+        (F.col("label") != F.col("other_label")) & (F.struct("size", "row") < F.struct(F.col("other_size").alias("size"), F.col("other_row").alias("row")))
+        & (F.col("size") * d >= F.col("other_size") * n) & (least * (n + d) >= n * (F.col("size") + F.col("other_size")))
+    )
+    pairs = met.select(F.col("row").alias("a"), F.col("other_row").alias("b")).distinct()
+    x, y = sets.select(F.col("row").alias("a"), F.col("members").alias("x")), sets.select(F.col("row").alias("b"), F.col("members").alias("y"))
+    enough = F.size(F.array_intersect("x", "y")) * (n + d) >= n * (F.size("x") + F.size("y"))
+    found = durable(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), "links-across")
+    discard(stored, filed)
+    return found
+
+
 def similar_roots(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """row and root of every row: rows of one root are linked by Jaccard similarities of at least that much. rows: __row, __late, __id."""
+    share = Fraction(str(similarity))
     banded = durable(shingle_bands(rows, text, shingle), "shingle-bands")
     ranks = rows.select(F.col("__row").alias("row"), F.struct(F.col("__late").alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row")).alias("rank"))
     # Equal sets are one point, known by its first row.
@@ -330,16 +407,18 @@ def similar_roots(rows: DataFrame, text: str, shingle: int, similarity: float) -
     filed = points.select("row", F.explode("bands").alias("bucket"))
     # Buckets with the same members are one.
     met = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"))
-    met = durable(met.where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
-    asked = durable(filed.join(met, "bucket").select("bucket", "row"), "bucket-members")
-    discard(met)
+    met = durable(met.where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "buckets")
+    asked = durable(filed.join(met, "bucket").select("bucket", F.pmod(F.xxhash64("row"), "blocks").alias("block"), "blocks", "row"), "bucket-members")
+    crowded = not met.where("blocks > 1").isEmpty()
     wanted = durable(asked.select("row").distinct(), "wanted")
-    sets = durable(shingle_sets(rows, text, shingle, wanted).join(points.select("row", "rank"), "row"), "shingle-sets")
-    full = asked.join(sets, "row").repartition("bucket").sortWithinPartitions("bucket", "rank").select("bucket", "row", "members")
-    edges = durable(full.mapInArrow(bucket_links(similarity), "a long, b long"), "shingle-links")
-    discard(asked, wanted, sets)
+    sets = durable(shingle_sets(rows, text, shingle, wanted), "shingle-sets")
+    dealt = asked.join(sets, "row").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "row").select("bucket", "block", "blocks", "row", "members")
+    found = durable(dealt.mapInArrow(block_links(share), "a long, b long, bucket long, common array<long>"), "shingle-links")
+    edges = found.where("a IS NOT NULL").select("a", "b")
+    if crowded:
+        edges = edges.union(links_across(asked, sets, found.where("bucket IS NOT NULL").select("bucket", "common"), edges, share))
     roots = components(edges)
-    discard(edges)
+    discard(met, asked, wanted, sets, found)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     point = points.select("digest", F.col("row").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return banded.select("row", "digest").join(point, "digest").select("row", "root")
@@ -361,11 +440,15 @@ def kept_documents(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
         raise ValueError("fingerprints have shingles of a fixed length")
     number = F.col("doc_id").cast("long")
     # Numbers of rows that are computed anew may change with the splits of the files: they are written with the rows.
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__late": number.isNull(), "__id": F.coalesce(number, F.lit(0).cast("long"))})
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__whole"), F.monotonically_increasing_id().alias("__row"), number.isNull().alias("__late"), F.coalesce(number, F.lit(0).cast("long")).alias("__id"),
+    )
     rows = durable(rows, "numbered")
-    roots = fingerprint_roots(rows, text) if similarity is None else similar_roots(rows, text, shingle, similarity)
+    texts = rows.select("__row", "__late", "__id", F.col("__whole")[text].alias("__text"))
+    roots = fingerprint_roots(texts, "__text") if similarity is None else similar_roots(texts, "__text", shingle, similarity)
     first = F.min(F.struct("__late", "__id", "__row")).alias("first")
     stay = rows.select("__row", "__late", "__id").join(roots, F.col("__row") == F.col("row")).groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))
     gone = rows.select("__row").join(stay, "__row", "left_anti")
     # The rows that go are the smaller side: their numbers are broadcast where Spark's size check allows, and texts move once at most.
-    return rows.join(durable(gone, "gone"), "__row", "left_anti").select(*docs.columns)
+    kept = rows.join(durable(gone, "gone"), "__row", "left_anti")
+    return kept.select(*(F.col("__whole")[c].alias(c) for c in docs.columns))

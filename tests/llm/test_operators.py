@@ -283,7 +283,7 @@ def test_kept_rows_by_component_not_id(spark):
 
 
 def test_near_copies_by_shingles(spark, monkeypatch):
-    """Near copies of five-word similarity 0.8 or more go, less similar ones stay; the same in buckets fuller than FULL."""
+    """Near copies of five-word similarity 0.8 or more go, less similar ones stay; the same in full buckets of many blocks."""
     rng = np.random.default_rng(13)
 
     def jaccard(x, y):
@@ -319,13 +319,11 @@ def test_near_copies_by_shingles(spark, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     got = simhash.kept_documents(df, shingle=5, similarity=0.8)
     assert sorted(10**6 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(want.values())
-    # A full bucket compares with unlinked points only: still no two texts that stay are similar.
-    rows = [("c", i, simhash.shingle_set(x, 5).view(np.int64).tolist()) for i, x in enumerate(t for t in texts if len(t.split()) > 5)]
-    monkeypatch.setattr(simhash, "FULL", 4)
-    batch = simhash.pa.RecordBatch.from_arrays([simhash.pa.array(v) for v in zip(*rows)], names=["bucket", "row", "members"])
-    gone = {b for r in simhash.bucket_links(0.8)([batch]) for b in r.column(1).to_pylist()}
-    left = [x for i, x in enumerate(t for t in texts if len(t.split()) > 5) if i not in gone]
-    assert 12 <= len(left) < len(rows) and all(jaccard(x, y) < 0.8 for k, x in enumerate(left) for y in left[:k])
+    # All texts in one bucket, and that dealt to many blocks: the same rows stay.
+    monkeypatch.setattr(simhash, "band_keys", lambda members: np.zeros(min(len(members), 1), np.int64))
+    for block in (8, 256):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert sorted(10**6 if r.doc_id is None else r.doc_id for r in simhash.kept_documents(df, shingle=5, similarity=0.8).collect()) == sorted(want.values())
 
 
 def test_simhash_full_cells(spark):
@@ -390,6 +388,35 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_full_buckets_lose_no_link(spark, monkeypatch):
+    """Three texts linked in a chain, among few and many texts of one bucket that share half of their words: the same ones stay."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    shared = [word() for _ in range(100)]
+    chain = [word() for _ in range(200)]
+    links = [list(chain) for _ in range(3)]
+    for k, other in enumerate(links):
+        for at in range(4 * k):
+            other[10 + 9 * at] = "changed"
+    data = [(k, " ".join(x)) for k, x in enumerate(links)]
+    monkeypatch.setattr(simhash, "band_keys", lambda members: np.zeros(min(len(members), 1), np.int64))
+    for fillers in (10, 300, 3000):
+        more = [(100 + k, " ".join(shared + [word() for _ in range(100)])) for k in range(fillers)]
+        df = spark.createDataFrame(data + more, "doc_id long, text string").repartition(4)
+        stay = {r.doc_id for r in simhash.kept_documents(df, shingle=5, similarity=0.8).collect()}
+        assert stay == {0, *(i for i, _ in more)}, fillers
+
+
+def test_kept_documents_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__row": F.lit("r"), "__late": F.lit("l"), "__id": F.lit("i"), "row": F.lit(1), "a.b": F.lit("dot")})
+    for more in ({}, {"shingle": 5, "similarity": 0.8}):
+        got = simhash.kept_documents(df, **more)
+        assert got.columns == df.columns and sorted((r.doc_id for r in got.collect())) == [1, 3]
+        assert {tuple(r[c] for c in df.columns[2:]) for r in got.collect()} == {("r", "l", "i", 1, "dot")}
+    assert simhash.kept_documents(df.limit(0), shingle=5, similarity=0.8).collect() == []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
