@@ -37,10 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
+    """Write df as Parquet into the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    A table without a path of its own goes when the session's process ends; ``discard`` removes it earlier.
+    """
+    spark, own = df.sparkSession, path is None
     path = path or f"{shared_dir(spark)}/quernstone/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if own:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_to = path
     return written

@@ -81,7 +81,7 @@ def paths(turns: DataFrame) -> DataFrame:
     element = {f"e{i}": F.xxhash64(F.lit(2 + i), "depth", "d1", "d2") for i in (1, 2)}
     upto = W.partitionBy("conv", "part").orderBy("depth").rowsBetween(W.unboundedPreceding, 0)
     inside = turns.withColumns(element).withColumns({f"r{i}": F.bit_xor(f"e{i}").over(upto) for i in (1, 2)}).drop("d1", "d2")
-    inside = durable(inside, "conversation-parts")
+    inside = durable(inside, "conversation-parts")  # read once more below
     parts = inside.groupBy("conv", "part").agg(F.bit_xor("e1").alias("x1"), F.bit_xor("e2").alias("x2"))
     offsets = parts.select("conv", "part", *(F.coalesce(before(f"x{i}", F.bit_xor), F.lit(0)).alias(f"o{i}") for i in (1, 2)))
     key = {f"k{i}": F.col(f"r{i}").bitwiseXOR(F.col(f"o{i}")) for i in (1, 2)}
@@ -205,6 +205,7 @@ def prefix_trie(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     turns = durable(ordered_turns(conversations, conv_id, turn, role, text), "turns")
     rebuilt, whole = rebuilt_turns(turns)
     steps = durable(paths(rebuilt), "conversation-paths")
+    discard(turns)
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     roots = whole.select("conv", zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), none.alias("p1"), none.alias("p2"), zero.alias("words"), "length")
     trie = merged(durable(partial_tries(steps.select(*roots.columns).union(roots)), "partial-tries"), fan)

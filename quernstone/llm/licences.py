@@ -106,7 +106,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     idf = word_rarity(docs, sorted({w for t in templates() for w in t["words"]}), text)
     postings, anchors = index(idf)
-    df = with_words(docs, text)
+    made = ("n_words", "matches")
+    names = [c for c in docs.columns if c not in made]
+    df = with_words(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(text).alias("__text")), "__text")
     words = F.col("__words")
     df = df.withColumn("__at", F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(anchors), i))))
     # All other posted words must stand at their distance from the one that was looked up.
@@ -127,7 +129,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     kind = "array<struct<label:string,base:boolean,start:bigint,n_words:int,score:double>>"
     found = F.coalesce(F.transform(F.filter("__candidates", stands), described), F.array().cast(kind))
-    return df.withColumns({"n_words": F.size(words).cast("long"), "matches": found}).drop("__words", "__at", "__candidates")
+    df = df.select("__row", F.size(words).cast("long").alias("n_words"), found.alias("matches"))
+    return df.select(*(F.col("__row")[c].alias(c) for c in names), *made)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

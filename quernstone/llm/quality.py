@@ -190,6 +190,6 @@ def accepted(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataF
     The filter also names a row number, which keeps the optimizer from substituting the whole conditional
     expression, arrays and all, into a filter below the columns that it is made of.
     """
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row"))
     judged = judge(whole, labels, bound).select("kept", "whole_row", F.monotonically_increasing_id().alias("at"))
-    return judged.where(F.col("kept") & (F.col("at") >= 0)).select("whole_row.*")
+    return judged.where(F.col("kept") & (F.col("at") >= 0)).select(*(F.col("whole_row")[c].alias(c) for c in docs.columns))

@@ -1,4 +1,4 @@
-"""Extra columns with the operators' own names, and what the thin queries return."""
+"""Extra columns with the operators' own names, and rows without ids in mixing."""
 
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ def test_quality_keeps_columns_of_feature_names(spark):
 
 def test_licences_and_urls_with_extra_columns(spark):
     got = licences.summary(licences.scan(clashing(spark, ["label", "start", "matches"]))).collect()
+    named = licences.scan(clashing(spark, ["__words", "__at", "__candidates", "a.b"])).collect()
+    assert all(r[c] == f"own {c}" for r in named for c in ("__words", "__at", "__candidates", "a.b"))
     assert sorted(r.n_base for r in got) == [0, 0, 0, 1] and {r.labels for r in got} == {"", "mit"}
     pages = spark.createDataFrame([(1, "https://x.de/8", "a"), (2, None, "b")], "page_id long, url string, host string")
     assert url_filter.judge_urls(pages).count() == 2 and url_filter.judge_urls(pages.limit(0)).collect() == []

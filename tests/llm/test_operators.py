@@ -442,3 +442,41 @@ def test_pipeline(spark, tmp_path):
         ids = t.encode(text[r.doc_id], add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert C.run(spark, str(tmp_path)).count() == mixed.count()
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated and very long rows, columns of any name; an empty table runs through."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(30)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    texts = [prose(120) for _ in range(20)]
+    data = [(k, x, f"s{k % 2}") for k, x in enumerate(texts)] + [(None, texts[3], "s1"), (4, texts[4], "s0"), (4, texts[4], "s0"), (50, None, "s0"), (51, "", None), (None, None, None), (52, prose(20_000), None), (53, prose(80), None)]
+    docs = spark.createDataFrame([(i, t, s, "own") for i, t, s in data], "doc_id long, text string, source string, `a.b` string").withColumn("__row", F.lit(7))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = C.durable(C.quality_rules(spark, docs, str(tmp_path)), "t")
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t, _ in data if t and len(t.split()) >= 50)
+    once = C.durable(C.near_dedup(spark, kept, ""), "t")
+    assert once.columns == docs.columns and sorted(r.doc_id for r in once.collect()) == [*range(20), 52, 53]
+    mixed = C.durable(C.mixture(spark, once, ""), "t")
+    assert mixed.columns == docs.columns and all(r["a.b"] == "own" and r["__row"] == 7 for r in mixed.collect())
+    assert C.token_ids(spark, mixed, "").count() == mixed.count() > 0
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert C.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_whole_texts_by_units_equal_the_library():
+    """Fuzz of the path that encodes plain texts whole: ids as by the library for every text that it takes."""
+    path = P.path("byte_bpe_50k.json")
+    t, units = Tokenizer.from_file(path), byteunits.ByteUnits(path)
+    rng = np.random.default_rng(77)
+    bits = [*map(chr, range(0, 0x250, 3)), " ", "  ", "\n", "\n\n", "\t", "'s", "'LL", "don't", "12", "3,000", "abc", "The", " of", "...", "--", "<|endoftext|>", "\xad", "\x85", "é", "Ä"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(5000)]
+    whole = [units.whole(x) for x in texts]
+    for x, got, e in zip(texts, whole, t.encode_batch(texts, add_special_tokens=False)):
+        assert got is None or list(got) == e.ids, x
+    assert sum(g is not None for g in whole) > 500
