@@ -328,11 +328,16 @@ def block_links(share: Fraction):
     return work
 
 
+#: Bits of a member that prefixes are made of: equal members have equal ones, and what meets by chance is verified like the rest.
+SHORT = 2**31 - 1
+
+
 def prefixes(share: Fraction):
-    """Rows (bucket, block, row, label, members, common), the row of common first in its block -> (bucket, member, row, label, size, place, filed).
+    """Rows (bucket, block, row, label, members, common), the row of common first in its block -> (key, row, label, packed).
 
     A set is put in order, members in common last. Of two similar sets the larger one (of equal ones that of the larger row) has a member of the other
     among its first size - share * size + 1, and the smaller one a member of that among its first size - 2 share / (1 + share) * size + 1: these are filed.
+    key stands for bucket and member, packed has the size of the set, the member's place and whether it is filed.
     """
     both = 2 * share / (1 + share)
 
@@ -340,27 +345,27 @@ def prefixes(share: Fraction):
         return n - -(-n * of.numerator // of.denominator) + 1
 
     def work(batches):
-        place, common = None, np.zeros(0, np.int64)
+        place, common = None, np.zeros(0, np.int32)
         for batch in batches:
             buckets, blocks, numbers, labels = (batch.column(c).to_pylist() for c in range(4))
-            rows = {k: [] for k in ("bucket", "member", "row", "label", "size", "place", "filed")}
+            parts = []
             for i, (c, k, row, label) in enumerate(zip(buckets, blocks, numbers, labels)):
                 if (c, k) != place:
-                    place, common = (c, k), np.zeros(0, np.int64)
+                    place, common = (c, k), np.zeros(0, np.int32)
                 if row is None:
                     common = np.array(batch.column(5)[i].values.to_numpy())
                     continue
-                x = batch.column(4)[i].values.to_numpy()
-                frequent = np.isin(x, common, assume_unique=True)
-                n, probe, index = len(x), first(len(x), share), first(len(x), both)
-                own = np.concatenate([x[~frequent], x[frequent]])[:probe]
-                for name, v in (("bucket", np.full(len(own), c)), ("member", own), ("row", np.full(len(own), row)), ("label", np.full(len(own), label)), ("size", np.full(len(own), n)), ("place", np.arange(len(own))), ("filed", np.arange(len(own)) < index)):
-                    rows[name].append(v)
-                if len(rows["row"]) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in rows.values()], names=list(rows))
-                    rows = {k: [] for k in rows}
-            if rows["row"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in rows.values()], names=list(rows))
+                x = np.sort(batch.column(4)[i].values.to_numpy())
+                frequent, n = np.isin(x, common), len(x)
+                own = np.concatenate([x[~frequent], x[frequent]])[: first(n, share)].astype(np.uint64)
+                at = np.arange(len(own))
+                key = (own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(c % 2**64)
+                parts.append((key.view(np.int64), np.full(len(own), row), np.full(len(own), label), n << 32 | at << 1 | (at < first(n, both))))
+                if len(parts) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*parts)], names=["key", "row", "label", "packed"])
+                    parts = []
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*parts)], names=["key", "row", "label", "packed"])
 
     return work
 
@@ -375,20 +380,22 @@ def links_across(asked: DataFrame, sets: DataFrame, common: DataFrame, edges: Da
     stored = durable(asked.where("blocks > 1").join(roots, "row", "left").withColumn("label", F.coalesce("root", "row")).select("bucket", "block", "row", "label"), "full-buckets")
     mixed = stored.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
     full = stored.join(mixed, "bucket")
-    none = F.lit(None)
+    none, short = F.lit(None), lambda c: F.transform(c, lambda x: x.bitwiseAND(SHORT).cast("int"))
     shared = full.select("bucket", "block").distinct().join(common, "bucket")  # a row for each block
-    shared = shared.select("bucket", "block", none.cast("long").alias("row"), none.cast("long").alias("label"), none.cast("array<long>").alias("members"), "common")
-    members = full.join(sets.select("row", "members"), "row").select("bucket", "block", "row", "label", "members", none.cast("array<long>").alias("common"))
+    shared = shared.select("bucket", "block", none.cast("long").alias("row"), none.cast("long").alias("label"), none.cast("array<int>").alias("members"), short("common").alias("common"))
+    members = full.join(sets.select("row", short("members").alias("members")), "row").select("bucket", "block", "row", "label", "members", none.cast("array<int>").alias("common"))
     sorted_ = members.union(shared).repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.col("row").asc_nulls_first())
-    filed = durable(sorted_.mapInArrow(prefixes(share), "bucket long, member long, row long, label long, size long, place long, filed boolean"), "prefixes")
-    one, other = filed.where("filed"), filed.select("bucket", "member", *(F.col(c).alias(f"other_{c}") for c in ("row", "label", "size", "place")))
+    filed = durable(sorted_.mapInArrow(prefixes(share), "key long, row long, label long, packed long"), "prefixes")
+    # Both sides are the same rows dealt by the same key, which Spark shuffles once.
+    side = lambda c: filed.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("row", "label", "packed")))
+    size, place = lambda c: F.shiftright(f"packed_{c}", 32), lambda c: F.shiftright(F.col(f"packed_{c}").bitwiseAND(2**32 - 1), 1)
     n, d = F.lit(share.numerator), F.lit(share.denominator)
-    least = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
-    met = one.join(other, ["bucket", "member"]).where(
-        (F.col("label") != F.col("other_label")) & (F.struct("size", "row") < F.struct(F.col("other_size").alias("size"), F.col("other_row").alias("row")))
-        & (F.col("size") * d >= F.col("other_size") * n) & (least * (n + d) >= n * (F.col("size") + F.col("other_size")))
+    least = F.least(size("a") - place("a"), size("b") - place("b"))
+    met = side("a").join(side("b"), "key").where(
+        (F.col("packed_a").bitwiseAND(1) == 1) & (F.col("label_a") != F.col("label_b")) & ((size("a") < size("b")) | (size("a") == size("b")) & (F.col("row_a") < F.col("row_b")))
+        & (size("a") * d >= size("b") * n) & (least * (n + d) >= n * (size("a") + size("b")))
     )
-    pairs = met.select(F.col("row").alias("a"), F.col("other_row").alias("b")).distinct()
+    pairs = met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
     x, y = sets.select(F.col("row").alias("a"), F.col("members").alias("x")), sets.select(F.col("row").alias("b"), F.col("members").alias("y"))
     enough = F.size(F.array_intersect("x", "y")) * (n + d) >= n * (F.size("x") + F.size("y"))
     found = durable(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), "links-across")
