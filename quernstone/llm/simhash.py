@@ -379,7 +379,8 @@ def links_across(asked: DataFrame, sets: DataFrame, common: DataFrame, edges: Da
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().toDF("row", "root")
     stored = durable(asked.where("blocks > 1").join(roots, "row", "left").withColumn("label", F.coalesce("root", "row")).select("bucket", "block", "row", "label"), "full-buckets")
     mixed = stored.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
-    full = stored.join(mixed, "bucket")
+    # Tables of known size: small ones are sent to the sets, which move only where they are large.
+    full = durable(stored.join(mixed, "bucket"), "mixed-buckets")
     none, short = F.lit(None), lambda c: F.transform(c, lambda x: x.bitwiseAND(SHORT).cast("int"))
     shared = full.select("bucket", "block").distinct().join(common, "bucket")  # a row for each block
     shared = shared.select("bucket", "block", none.cast("long").alias("row"), none.cast("long").alias("label"), none.cast("array<int>").alias("members"), short("common").alias("common"))
@@ -395,11 +396,13 @@ def links_across(asked: DataFrame, sets: DataFrame, common: DataFrame, edges: Da
         (F.col("packed_a").bitwiseAND(1) == 1) & (F.col("label_a") != F.col("label_b")) & ((size("a") < size("b")) | (size("a") == size("b")) & (F.col("row_a") < F.col("row_b")))
         & (size("a") * d >= size("b") * n) & (least * (n + d) >= n * (size("a") + size("b")))
     )
-    pairs = met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
-    x, y = sets.select(F.col("row").alias("a"), F.col("members").alias("x")), sets.select(F.col("row").alias("b"), F.col("members").alias("y"))
+    pairs = durable(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct(), "pairs-across")
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends-across")
+    few = durable(sets.join(ends, "row", "left_semi"), "sets-across")
+    x, y = few.select(F.col("row").alias("a"), F.col("members").alias("x")), few.select(F.col("row").alias("b"), F.col("members").alias("y"))
     enough = F.size(F.array_intersect("x", "y")) * (n + d) >= n * (F.size("x") + F.size("y"))
     found = durable(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), "links-across")
-    discard(stored, filed)
+    discard(stored, full, filed, pairs, ends, few)
     return found
 
 
