@@ -418,17 +418,20 @@ def similar_roots(rows: DataFrame, text: str, shingle: int, similarity: float) -
     # Buckets with the same members are one.
     met = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"))
     met = durable(met.where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "buckets")
-    asked = durable(filed.join(met, "bucket").select("bucket", F.pmod(F.xxhash64("row"), "blocks").alias("block"), "blocks", "row"), "bucket-members")
-    crowded = not met.where("blocks > 1").isEmpty()
+    asked = durable(filed.join(met, "bucket").select("bucket", "row"), "bucket-members")
+    many = durable(met.where("blocks > 1"), "crowded-buckets")
+    block = F.pmod(F.xxhash64("row"), "blocks").alias("block")
     wanted = durable(asked.select("row").distinct(), "wanted")
     sets = durable(shingle_sets(rows, text, shingle, wanted), "shingle-sets")
-    dealt = asked.join(sets, "row").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "row").select("bucket", "block", "blocks", "row", "members")
+    # Sets meet the slim rows first, and the few crowded buckets after that.
+    dealt = asked.join(sets, "row").join(many, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).select("bucket", block, "blocks", "row", "members")
+    dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "row").select("bucket", "block", "blocks", "row", "members")
     found = durable(dealt.mapInArrow(block_links(share), "a long, b long, bucket long, common array<long>"), "shingle-links")
     edges = found.where("a IS NOT NULL").select("a", "b")
-    if crowded:
-        edges = edges.union(links_across(asked, sets, found.where("bucket IS NOT NULL").select("bucket", "common"), edges, share))
+    if not many.isEmpty():
+        edges = edges.union(links_across(asked.join(many, "bucket").select("bucket", block, "blocks", "row"), sets, found.where("bucket IS NOT NULL").select("bucket", "common"), edges, share))
     roots = components(edges)
-    discard(met, asked, wanted, sets, found)
+    discard(met, asked, many, wanted, sets, found)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     point = points.select("digest", F.col("row").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return banded.select("row", "digest").join(point, "digest").select("row", "root")
