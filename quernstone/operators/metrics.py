@@ -1,4 +1,4 @@
-"""Weighted rank metrics with ties, and component-clustered bootstrap intervals."""
+"""Weighted rank metrics with ties."""
 
 from __future__ import annotations
 
@@ -26,46 +26,3 @@ def average_precision(rows: DataFrame, group: list[str], score: str, positive: C
     t = by_score(rows, group, score, positive, weight).withColumns({"cp": F.sum("p").over(down), "cu": F.sum("u").over(down)})
     t = t.withColumn("part", F.when(F.col("cp") + F.col("cu") > 0, F.col("p") * F.col("cp") / (F.col("cp") + F.col("cu"))).otherwise(0.0))
     return t.groupBy(*group).agg(F.when(F.sum("p") > 0, F.sum("part") / F.sum("p")).alias("average_precision"))
-
-
-def pigeonhole_multiplier(ca: int, cb: int, counts) -> int:
-    """How often a pair stands in a replicate that draws its components so often: once for a component with itself."""
-    return counts[ca] if ca == cb else counts[ca] * counts[cb]
-
-
-def bootstrap(rows: DataFrame, components: list[str], replicates: int, seed: int) -> DataFrame:
-    """(replicate, concordance) of rows (ca, cb, score, positive, weight) under component-clustered replicates.
-
-    A replicate's draws come from its own generator, seeded by (seed, replicate); replicates are spread over tasks, and
-    each task adds up what its replicates need per score. ``components`` are the distinct component names.
-    """
-    spark = rows.sparkSession
-    place = {c: i for i, c in enumerate(sorted(components))}
-    table = rows.groupBy("ca", "cb", "score").agg(F.sum(F.when(F.col("positive"), 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("positive"), 0.0).otherwise(F.col("weight"))).alias("u"))
-    names = spark.createDataFrame(list(place.items()), "name string, i int")
-    table = table.join(F.broadcast(names.toDF("ca", "ia")), "ca").join(F.broadcast(names.toDF("cb", "ib")), "cb").select("ia", "ib", "score", "p", "u")
-    n = len(place)
-
-    def draws(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for r in batch.column(0).to_pylist():
-                counts = np.bincount(np.random.Generator(np.random.PCG64DXSM([seed, r])).integers(0, n, n), minlength=n)
-                yield pa.RecordBatch.from_arrays([pa.array([r] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(counts, pa.int64())], names=["replicate", "i", "k"])
-
-    k = spark.range(replicates).mapInArrow(draws, "replicate long, i int, k long").where("k > 0")
-    a, b = k.toDF("replicate", "ia", "ka"), k.toDF("replicate", "ib", "kb")
-    drawn = table.join(a, "ia").join(b, ["replicate", "ib"])
-    m = F.when(F.col("ia") == F.col("ib"), F.col("ka")).otherwise(F.col("ka") * F.col("kb"))
-    t = drawn.groupBy("replicate", "score").agg(F.sum(F.col("p") * m).alias("p"), F.sum(F.col("u") * m).alias("u"))
-    below = F.coalesce(F.sum("u").over(W.partitionBy("replicate").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    t = t.withColumn("good", F.col("p") * (below + F.col("u") / 2))
-    return t.groupBy("replicate").agg(F.when((F.sum("p") > 0) & (F.sum("u") > 0), F.sum("good") / (F.sum("p") * F.sum("u"))).alias("concordance"))
-
-
-def interval(distribution: DataFrame, column: str) -> DataFrame:
-    """The 2.5 and 97.5 percentiles by linear interpolation, undefined values left out."""
-    x = F.when(~F.isnan(column), F.col(column))
-    return distribution.agg(F.percentile(x, F.lit(0.025)).alias("low"), F.percentile(x, F.lit(0.975)).alias("high"))

@@ -51,24 +51,6 @@ def al20(spark, d):
     return M.average_precision(scored(spark, d), ["cell"], "score", F.col("pos"), F.col("w")).withColumn("average_precision", F.round("average_precision", 9))
 
 
-def replicates(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("cb"))
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_nationkey").cast("string").alias("ca"))
-    rows = table(spark, d, "lineitem").join(s, "l_suppkey").join(o, "l_orderkey").select("ca", "cb", F.col("l_discount").alias("score"), (F.col("l_returnflag") == "R").alias("positive"), F.col("l_quantity").alias("weight"))
-    names = [str(r.n_nationkey) for r in table(spark, d, "nation").collect()]
-    return M.bootstrap(rows, names, 2000, 20260803)
-
-
-@query("al21_clustered_bootstrap")
-def al21(spark, d):
-    return replicates(spark, d)
-
-
-@query("al22_interval")
-def al22(spark, d):
-    return M.interval(replicates(spark, d), "concordance")
-
-
 UNPIVOT = "t AS (SELECT l_linestatus AS cell, unnest([{'s': 'discount', 'x': l_discount}, {'s': 'tax', 'x': l_tax}, {'s': 'quantity', 'x': l_quantity}], recursive := true), l_returnflag = 'R' AS pos, 1.0::DOUBLE AS w FROM lineitem), g AS (SELECT cell, s AS scorer, x AS score, sum(CASE WHEN pos THEN 1.0::DOUBLE ELSE 0 END) AS p, sum(CASE WHEN pos THEN 0 ELSE w END) AS u FROM t GROUP BY ALL)"
 
 
