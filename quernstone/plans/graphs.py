@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from ..operators.graph import component_id, component_sizes, connected_components, nearest_rank
+from ..operators.graph import component_id, connected_components, nearest_rank, nested_components
 from ..operators.split import PARTITIONS, feasibility, search, selected, trials
 from .identities import PART_OF, partition_of, with_cells
 from .registry import query
@@ -35,16 +36,46 @@ def al02(spark, d):
     return components(spark, d).groupBy("representative").agg(component_id(F.collect_list("node"), "component").alias("component_id"), F.count("*").alias("size"))
 
 
-@query("al03_sizes_at_thresholds")
+#: Components of nested graphs: labels sink along the edges of a level (ed: a, b, level) and of those before it.
+NESTED = """nd AS (SELECT 'P' || p_partkey AS node FROM part),
+ln AS (SELECT x.level, a, b FROM ed JOIN lv x ON ed.level <= x.level), e2 AS (SELECT level, a AS x, b AS y FROM ln UNION SELECT level, b, a FROM ln),
+cn(level, node, rep) USING KEY (level, node) AS (SELECT level, node, node FROM nd, lv
+  UNION (SELECT u.level, u.node, min(v.rep) FROM recurring.cn u JOIN e2 ON e2.level = u.level AND e2.x = u.node JOIN cn v ON v.level = e2.level AND v.node = e2.y WHERE v.rep < u.rep GROUP BY u.level, u.node))"""
+RECURSIVE_PAIRS = PAIRS.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("al03_sizes_at_thresholds", f"""{RECURSIVE_PAIRS}, lv AS (SELECT unnest([1, 2, 3]) AS level), ed AS (SELECT a, b, 4 - least(n, 3) AS level FROM pp), {NESTED},
+sz AS (SELECT level, rep, count(*) AS size FROM cn GROUP BY ALL)
+SELECT CAST(4 - level AS INTEGER) AS least_reports, count(*) AS components, max(size) AS largest, quantile_disc(size, 0.25) AS q25, quantile_disc(size, 0.5) AS q50, quantile_disc(size, 0.75) AS q75, quantile_disc(size, 0.99) AS q99 FROM sz GROUP BY level""")
 def al03(spark, d):
-    """Component counts, quantiles of the sizes and the largest size when edges need one, two or three reports."""
-    pairs = durable(positive_pairs(spark, d).select("a", "b", "n"))
-    out = None
-    for least in (3, 2, 1):
-        s = component_sizes(connected_components(nodes(spark, d), pairs.where(F.col("n") >= least).select("a", "b")))
-        one = s.agg(F.lit(least).alias("least_reports"), F.count("*").alias("components"), F.max("size").alias("largest"), *[nearest_rank("size", q).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75, 0.99)])
-        out = one if out is None else out.union(one)
-    return out
+    """Component counts, quantiles of the sizes and the largest size when edges need three, two or one reports, each graph grown from the one before."""
+    edges = positive_pairs(spark, d).select("a", "b", (4 - F.least("n", F.lit(3))).alias("level"))
+    members, _ = nested_components(nodes(spark, d), edges, [1, 2, 3])
+    s = members.groupBy("level", "representative").agg(F.count("*").alias("size"))
+    quantiles = [nearest_rank("size", q).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75, 0.99)]
+    return s.groupBy("level").agg(F.count("*").alias("components"), F.max("size").alias("largest"), *quantiles).select((4 - F.col("level")).cast("int").alias("least_reports"), "components", "largest", "q25", "q50", "q75", "q99")
+
+
+#: The three graphs, each with the reports that its added pairs need; other pairs are in none.
+LEAKAGE_NAMES = ("accepted", "full_length", "local")
+LEVEL_OF = "CASE WHEN n >= 3 AND in_a AND in_r THEN 1 WHEN n >= 3 THEN 2 WHEN n >= 2 THEN 3 END"
+NAME_OF = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(LEAKAGE_NAMES, 1))
+
+
+@query("al06_leakage_components", f"""{RECURSIVE_PAIRS}, lv AS (SELECT unnest([1, 2, 3]) AS level), ed AS (SELECT a, b, {LEVEL_OF} AS level FROM pp WHERE n >= 2), {NESTED},
+sz AS (SELECT level, rep, count(*) AS size FROM cn GROUP BY ALL), s AS (SELECT level, count(*) AS components, max(size) AS largest, count_if(size = 1) AS singletons FROM sz GROUP BY ALL),
+g AS (SELECT ed.level, count(*) AS added, count_if(coalesce(x.rep, ed.a) <> coalesce(y.rep, ed.b)) AS added_crossing FROM ed LEFT JOIN cn x ON x.level = ed.level - 1 AND x.node = ed.a LEFT JOIN cn y ON y.level = ed.level - 1 AND y.node = ed.b GROUP BY ALL)
+SELECT CASE level {NAME_OF} END AS graph, (SELECT count(*) FROM ed WHERE ed.level <= s.level) AS edges, coalesce(added, 0) AS added, coalesce(added_crossing, 0) AS added_crossing, components, largest, singletons FROM s LEFT JOIN g USING (level)""")
+def al06_components(spark, d):
+    """The accepted, full-length and local graphs: edges, those that a graph adds, those of them that join two components, and the sizes."""
+    edges = positive_pairs(spark, d).select("a", "b", F.expr(LEVEL_OF).alias("level")).where("level is not null")
+    members, judged = nested_components(nodes(spark, d), edges, [1, 2, 3])
+    sizes = members.groupBy("level", "representative").agg(F.count("*").alias("size"))
+    s = sizes.groupBy("level").agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.count_if(F.col("size") == 1).alias("singletons"))
+    g = judged.groupBy("level").agg(F.count("*").alias("added"), F.count_if("crossing").alias("added_crossing"))
+    upto = F.sum("added").over(W.orderBy("level").rowsBetween(W.unboundedPreceding, 0))  # a row for each level
+    j = s.join(g, "level", "left").withColumns({"added": F.coalesce("added", F.lit(0)), "added_crossing": F.coalesce("added_crossing", F.lit(0))}).withColumn("edges", upto)
+    return j.select(F.expr(f"CASE level {NAME_OF} END").alias("graph"), "edges", "added", "added_crossing", "components", "largest", "singletons")
 
 
 @query("al06_nested_graphs", f"WITH {EV}, {PE}, g1 AS (SELECT DISTINCT a, b FROM pe WHERE source = 'A'), g2 AS (SELECT DISTINCT a, b FROM pe WHERE source IN ('A', 'R')), g3 AS (SELECT DISTINCT a, b FROM pe) SELECT (SELECT count(*) FROM g1) AS accepted, (SELECT count(*) FROM g2) AS full_length, (SELECT count(*) FROM g3) AS local")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import identity as I
 from quernstone.functions import text as X
 from quernstone.operators import metrics as M
-from quernstone.operators.graph import connected_components, degree_summary
+from quernstone.operators.graph import connected_components, degree_summary, nested_components
 from quernstone.operators.reconcile import multiset_match, route_cascade
 from quernstone.operators.sampling import bottom_hash_sample, design, hamilton, hamilton_table
 from quernstone.operators.split import allocate, trial_order
@@ -116,6 +116,39 @@ def test_sizes_at_all_thresholds(spark):
     assert {r.least_reports: (r.components, r.largest, r.q25, r.q50, r.q75, r.q99) for r in al03(spark, d).collect()} == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nested_components_equal_those_from_scratch(spark, seed):
+    from random import Random
+
+    r = Random(seed)
+    names = [f"n{i:02d}" for i in range(40)]
+    pick = lambda: r.choice(names)
+    edges = [(pick(), pick(), r.choice([1, 3, 3, 4, 4, 4])) for _ in range(45)] + [("n00", "n01", 4), ("n01", "n00", 1), ("n05", "n05", 1), ("n07", "stranger", 1)]  # levels 2 and 5 add nothing
+    levels = [1, 2, 3, 4, 5]
+    members, judged = nested_components(spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(edges, "a string, b string, level int"), levels)
+    least = {}
+    for a, b, k in edges:
+        if a != b and "stranger" not in (a, b):
+            key = (min(a, b), max(a, b))
+            least[key] = min(k, least.get(key, 9))
+
+    def scratch(level):
+        label = {n: n for n in names}
+        for _ in names:
+            for (a, b), k in least.items():
+                if k <= level:
+                    label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert {(x.level, x.node): x.representative for x in members.collect()} == {(k, n): v for k in levels for n, v in scratch(k).items()}
+    assert {(x.a, x.b): (x.level, x.crossing) for x in judged.collect()} == {(a, b): (k, scratch(k - 1)[a] != scratch(k - 1)[b]) for (a, b), k in least.items()}
+
+
+def test_nested_components_of_nothing(spark):
+    members, judged = nested_components(spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([], "a string, b string, level int"), [1, 2])
+    assert sorted(map(tuple, members.collect())) == [(1, "a", "a"), (2, "a", "a")] and judged.isEmpty()
+
+
 def test_kmer_similarity_reads_whole_texts(spark, tmp_path):
     from quernstone.plans.scoring import heldout_brands, jn27_whole
 
