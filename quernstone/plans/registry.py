@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("identities", "joins", "aggregates", "ordered", "graphs", "benchmark", "scoring", "contracts", "inputs", "streams", "relations", "rollups", "scorers", "cells", "evaluation")
+MODULES = ("identities", "joins", "aggregates", "ordered", "graphs", "benchmark", "scoring", "contracts", "inputs", "streams", "relations", "rollups", "scorers", "cells", "evaluation", "training")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
