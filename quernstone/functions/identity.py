@@ -84,3 +84,8 @@ def opaque_token(package: str, cell: Column, pair: Column) -> Column:
 
 def choose_two(n: Column) -> Column:
     return (n * (n - 1) / 2).cast("long")
+
+
+def seed_u64(*parts: Column) -> Column:
+    """The first eight bytes of the digest over the parts, joined by colons, as an unsigned number of at most 20 digits."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 16), 16, 10).cast("decimal(20,0)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,3 +102,26 @@ class Ledger:
     def verdict(self) -> str:
         states = {r["status"] for r in self.rows}
         return "fail" if "fail" in states else "warning" if "warning" in states else "pass"
+
+
+def ensemble_census(scores: DataFrame, ensembles: dict[str, list[str]]) -> DataFrame:
+    """(ensemble, rows, incomplete, unequal, largest): whether each ensemble's column is the mean of its members' columns, exactly.
+
+    Rows where one of the columns is null or not finite are incomplete and not compared. A name listed twice among an ensemble's
+    members, an ensemble without members or a column that is not there raises ValueError before anything runs.
+    """
+    for name, members in ensembles.items():
+        if not members or len(set(members)) != len(members) or name in members:
+            raise ValueError(f"members of {name}: {members}")
+        if missing := {name, *members} - set(scores.columns):
+            raise ValueError(f"no columns {sorted(missing)}")
+    quoted = lambda c: F.col(f"`{c}`").cast("double")
+    each = []
+    for name, members in ensembles.items():
+        values = [quoted(c) for c in (name, *members)]
+        sound = reduce(lambda x, y: x & y, [F.coalesce(F.abs(v) < float("inf"), F.lit(False)) for v in values])
+        gap = F.abs(values[0] - reduce(lambda x, y: x + y, values[1:]) / len(members))
+        each.append(F.struct(F.lit(name).alias("ensemble"), sound.alias("sound"), gap.alias("gap")))
+    x = scores.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    gap = F.when(F.col("sound"), F.col("gap"))
+    return x.groupBy("ensemble").agg(F.count("*").alias("rows"), F.count_if(~F.col("sound")).alias("incomplete"), F.count_if(gap > 0).alias("unequal"), F.max(gap).alias("largest"))

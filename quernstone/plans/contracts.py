@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.contracts import Contract, orphans, relation_differences, uniform, violations
+from ..operators.contracts import Contract, ensemble_census, orphans, relation_differences, uniform, violations
 from .registry import query
 from .roles import table
 
@@ -43,3 +43,17 @@ def qc05(spark, d):
 @query("qc12_score_census", "SELECT count(*) - count(DISTINCT vec_id) AS repeated, count_if(len(embedding) <> 64) AS odd_sizes FROM embeddings")
 def qc12(spark, d):
     return table(spark, d, "embeddings").agg((F.count("*") - F.count_distinct("vec_id")).alias("repeated"), F.count_if(F.size("embedding") != 64).alias("odd_sizes"))
+
+
+#: Ensembles of columns over lines; the last one is no mean of its members.
+ENSEMBLES = {"linear": ["m1", "m2", "m3"], "offset": ["m1", "m3"], "tax": ["m1", "m2"]}
+
+
+@query("qc12_ensemble_census", """WITH s AS (SELECT CAST(round(l_quantity) AS DOUBLE) AS m1, CAST(round(l_quantity) + round(100 * l_discount) AS DOUBLE) AS m2, CAST(round(l_quantity) + 2 * round(100 * l_discount) AS DOUBLE) AS m3, round(100 * l_tax) AS tax FROM lineitem),
+x AS (SELECT unnest([{'ensemble': 'linear', 'gap': abs(m2 - (m1 + m2 + m3) / 3)}, {'ensemble': 'offset', 'gap': abs(m2 - (m1 + m3) / 2)}, {'ensemble': 'tax', 'gap': abs(tax - (m1 + m2) / 2)}], recursive := true) FROM s)
+SELECT ensemble, count(*) AS rows, count_if(gap IS NULL) AS incomplete, count_if(gap > 0) AS unequal, max(gap) AS largest FROM x GROUP BY ALL""")
+def qc12_ensembles(spark, d):
+    """Whether columns of ensembles are the exact means of their members' columns."""
+    q, k = F.round("l_quantity"), F.round(F.col("l_discount") * 100)
+    s = table(spark, d, "lineitem").select(q.alias("m1"), (q + k).alias("m2"), (q + 2 * k).alias("m3"), (q + k).alias("linear"), (q + k).alias("offset"), F.round(F.col("l_tax") * 100).alias("tax"))
+    return ensemble_census(s, ENSEMBLES)

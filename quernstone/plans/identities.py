@@ -358,3 +358,9 @@ def fn39(spark, d):
     x = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Q"), "s_suppkey", F.lit("-"), "s_nationkey")).otherwise(F.concat(F.lit("Q"), "s_suppkey"))
     acc, iso = X.accession_and_isoform(F.col("x"))
     return table(spark, d, "supplier").select("s_suppkey", x.alias("x")).select("s_suppkey", acc.alias("accession"), iso.alias("isoform"))
+
+
+@query("fn40_seeds", "SELECT o_orderkey, CAST(CAST('0x' || substr(sha256(concat_ws(':', '20260803', 'bootstrap', o_orderkey)), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM orders")
+def fn40(spark, d):
+    """A 64-bit seed for every order from its key; text, as longs have a sign."""
+    return table(spark, d, "orders").select("o_orderkey", I.seed_u64(F.lit("20260803"), F.lit("bootstrap"), F.col("o_orderkey")).cast("string").alias("seed"))

@@ -200,3 +200,22 @@ def test_route_cascade_and_multiset(spark):
     parent = spark.createDataFrame([("a", i) for i in range(3)], "k string, at int")
     got = multiset_match(parent, parent.where("at < 2"), ["k"], "at").orderBy("at").collect()
     assert [r.matched for r in got] == [True, True, False]
+
+
+def test_seeds_are_the_first_eight_bytes(spark):
+    from quernstone.operators.bootstrap import cell_seed
+
+    for cell in ("C1", "C3_development", "x:y"):
+        assert int(one(spark, I.seed_u64(F.lit("20260803"), F.lit("bootstrap"), F.lit(cell)).alias("s")).s) == cell_seed("20260803", cell)
+
+
+def test_ensemble_census(spark):
+    from quernstone.operators.contracts import ensemble_census
+
+    rows = [(1.0, 2.0, 3.0, 2.0), (1.0, 2.0, 3.0, 2.5), (None, 2.0, 3.0, 2.0), (1.0, float("nan"), 3.0, 2.0), (1.0, 2.0, float("inf"), 2.0)]
+    df = spark.createDataFrame(rows, "`a.1` double, b double, c double, mean double")
+    assert tuple(ensemble_census(df, {"mean": ["a.1", "b", "c"]}).first()) == ("mean", 5, 3, 1, 0.5)
+    assert ensemble_census(df.limit(0), {"mean": ["b", "c"]}).isEmpty()
+    for bad in ({"mean": []}, {"mean": ["b", "b"]}, {"mean": ["none"]}, {"mean": ["mean", "b"]}):
+        with pytest.raises(ValueError):
+            ensemble_census(df, bad)
