@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .identities import CELLS, HELD, heldout_brands, with_cells
-from ..functions.identity import degree_pair_stratum
+from ..functions.identity import degree_bin, degree_bin_order, degree_pair_stratum
 from ..functions.text import ngrams
 from .registry import query
 from .roles import GRAPH, PAIRS, PD, STRATUM, degrees, positive_pairs, table, with_degrees
@@ -92,10 +92,11 @@ def ag37(spark, d):
     p = positive_pairs(spark, d)
     g = degrees(p)
     pos = with_degrees(p, g).groupBy(degree_pair_stratum(F.col("da"), F.col("db")).alias("stratum")).agg(F.count("*").alias("n"))
-    c = g.groupBy("degree").agg(F.count("*").alias("k"))
-    j = c.toDF("da", "ka").join(F.broadcast(c.toDF("db", "kb")), F.col("da") <= F.col("db"))  # a row for each degree
-    m = F.when(F.col("da") == F.col("db"), F.expr("ka * (ka - 1) div 2")).otherwise(F.col("ka") * F.col("kb"))
-    pop = j.groupBy(degree_pair_stratum(F.col("da"), F.col("db")).alias("stratum")).agg(F.sum(m).alias("total"))
+    degree = F.col("degree")
+    c = g.groupBy(degree_bin(degree).alias("bin"), degree_bin_order(degree).alias("o")).agg(F.count("*").alias("n"))  # nine rows at most
+    j = c.alias("x").join(F.broadcast(c.alias("y")), F.col("x.o") <= F.col("y.o"))
+    m = F.when(F.col("x.o") == F.col("y.o"), F.expr("x.n * (x.n - 1) div 2")).otherwise(F.col("x.n") * F.col("y.n"))
+    pop = j.select(F.concat("x.bin", F.lit("|"), "y.bin").alias("stratum"), m.alias("total"))
     return pop.join(pos, "stratum", "left").select("stratum", (F.col("total") - F.coalesce("n", F.lit(0))).alias("unlabelled"))
 
 
