@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as X
 from ..operators import metrics as M
+from ..operators.graph import hubs
 from ..operators.reconcile import spine
 from .identities import CELLS, with_cells
 from .registry import query
@@ -63,9 +64,8 @@ def al23(spark, d):
 @query("al24_hub_diagnostics", f"{GRAPH}, h AS (SELECT node FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS r, count(*) OVER () AS n FROM dg) WHERE r <= ceil(0.05 * n)) SELECT a IN (SELECT node FROM h) OR b IN (SELECT node FROM h) AS hub, count(*) AS pairs, round(avg(n), 9) AS reports FROM pp GROUP BY ALL")
 def al24(spark, d):
     p = positive_pairs(spark, d)
-    g = degrees(p)
-    hubs = g.orderBy(F.desc("degree"), "node").limit(-(-g.count() * 5 // 100)).select("node", F.lit(True).alias("h"))
-    j = p.join(hubs.toDF("a", "ha"), "a", "left").join(hubs.toDF("b", "hb"), "b", "left")
+    top = hubs(degrees(p), 5).select("node", F.lit(True).alias("h"))
+    j = p.join(top.toDF("a", "ha"), "a", "left").join(top.toDF("b", "hb"), "b", "left")
     return j.groupBy((F.col("ha").isNotNull() | F.col("hb").isNotNull()).alias("hub")).agg(F.count("*").alias("pairs"), F.round(F.avg("n"), 9).alias("reports"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.graph import hubs
 from ..operators.sampling import bottom_hash_sample, hamilton_table
 from .registry import query
 from .roles import GRAPH, PD, STRATUM, degrees, positive_pairs, table, with_degrees
@@ -62,10 +63,7 @@ def wn05(spark, d):
 
 @query("wn06_hubs", f"{GRAPH} SELECT node, degree FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS r, count(*) OVER () AS n FROM dg) WHERE r <= ceil(0.05 * n)")
 def wn06(spark, d):
-    """The cut comes from a sorted limit, whose length is one count: no window over all nodes."""
-    g = degrees(positive_pairs(spark, d))
-    n = g.count()
-    return g.orderBy(F.desc("degree"), "node").limit(-(-n * 5 // 100))
+    return hubs(degrees(positive_pairs(spark, d)), 5)
 
 
 @query("wn07_cumulative_weight", "SELECT l_discount, round(sum(w) OVER (ORDER BY l_discount), 3) AS upto FROM (SELECT l_discount, sum(l_quantity) AS w FROM lineitem GROUP BY ALL)")

@@ -219,3 +219,14 @@ def test_ensemble_census(spark):
     for bad in ({"mean": []}, {"mean": ["b", "b"]}, {"mean": ["none"]}, {"mean": ["mean", "b"]}):
         with pytest.raises(ValueError):
             ensemble_census(df, bad)
+
+
+def test_hubs_with_ties(spark):
+    from quernstone.operators.graph import hubs
+
+    rows = [(f"n{i:03d}", 9 if i % 50 == 7 else 1 + i % 2) for i in range(101)]
+    df = spark.createDataFrame(rows, "node string, degree long")
+    for percent in (1, 5, 60, 100):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[: -(-101 * percent // 100)]
+        assert sorted(map(tuple, hubs(df.repartition(5), percent).collect())) == sorted(want)
+    assert hubs(df.limit(0), 5).isEmpty()
