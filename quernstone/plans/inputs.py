@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.durable import shared_dir
-from ..sources import readers, sinks
+from ..sources import archives, readers, sinks
 from .contracts import ORDERS
 from .registry import query
 from .roles import table
@@ -75,3 +75,53 @@ def sk06(spark, d):
     path = place(spark, "manifest")
     sinks.publish(table(spark, d, "customer"), path)
     return spark.createDataFrame([(sinks.manifest(spark, path)["rows"],)], "rows long")
+
+
+ARCHIVED = "WITH m AS (SELECT l_orderkey % 16 AS archive, 'orders/' || l_orderkey || '.tsv' AS member, encode('line\tpart\tsupplier\n' || string_agg(l_linenumber || '\t' || l_partkey || '\t' || l_suppkey || '\n', '' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS payload FROM lineitem GROUP BY l_orderkey)"
+MEMBER_COLUMNS = ["line", "part", "supplier"]
+
+
+def order_archives(spark, d):
+    """The folder of sixteen ZIP archives with a member for each order, its lines as a small table with a header."""
+    path = place(spark, "archives")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    text = F.transform(F.sort_array(F.collect_list(line)), lambda x: F.concat(F.concat_ws("\t", x["l_linenumber"], x["l_partkey"], x["l_suppkey"]), F.lit("\n")))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("\t".join(MEMBER_COLUMNS) + "\n"), F.array_join(text, "")).alias("text"))
+    sinks.zip_archives(orders.select((F.col("l_orderkey") % 16).alias("archive"), F.format_string("orders/%d.tsv", "l_orderkey").alias("member"), F.encode("text", "UTF-8").alias("payload")), path)
+    return path
+
+
+def archive_number():
+    return F.regexp_extract("archive", r"(\d+)\.zip$", 1).cast("long").alias("archive")
+
+
+@query("sc22_archive_members", f"{ARCHIVED} SELECT archive, member, octet_length(payload) AS size, sha256(payload) AS sha256 FROM m")
+def sc22(spark, d):
+    """Members of archives read by range, a task for about 64 kB of each: number of the archive, name, size and digest."""
+    return archives.members(spark, order_archives(spark, d), split=2**16).select(archive_number(), "member", "size", "sha256")
+
+
+@query("sc21_member_tables", f"{ARCHIVED} SELECT l_orderkey % 16 AS archive, 'orders/' || l_orderkey || '.tsv' AS member, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ordinal, CAST(l_linenumber AS VARCHAR) AS line, CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supplier FROM lineitem")
+def sc21(spark, d):
+    """The rows of all members' tables, streamed from the archives with each member's header checked."""
+    rows = archives.member_table(spark, order_archives(spark, d), r"\.tsv$", MEMBER_COLUMNS, split=2**16)
+    return rows.select(archive_number(), "member", "ordinal", *MEMBER_COLUMNS)
+
+
+@query("sk03_row_groups", "SELECT count(*) AS rows, min(l_orderkey) AS low, max(l_orderkey) AS high, true AS within, CAST(0 AS BIGINT) AS faults FROM lineitem")
+def sk03(spark, d):
+    """What the footers of an ordered table say: rows, bounds, whether row groups keep their size, and faults of order, numbering and schema."""
+    path = place(spark, "row-groups")
+    sinks.publish_ordered(table(spark, d, "lineitem"), path, ["l_orderkey", "l_linenumber"], rows_per_group=10_000)
+    groups = sinks.footers(spark, path, "l_orderkey")
+    faults = sinks.footer_faults(groups, 10_000).agg(F.count("*").alias("faults"))
+    return groups.agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and(F.col("rows") <= 10_000).alias("within")).join(faults)
+
+
+@query("sk04_positions", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM lineitem")
+def sk04(spark, d):
+    """A row's place in the order of the whole table: its place in its part behind the rows of earlier parts, which the footers count."""
+    path = place(spark, "ordered")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    sinks.publish_ordered(table(spark, d, "lineitem").select(*keys), path, keys, rows_per_group=100_000)
+    return sinks.positions(spark, path, keys[0]).select(*keys, "position")

@@ -432,6 +432,28 @@ def _interaction(node, people):
     }
 
 
+def interaction_rows(stream):
+    """The records of one XML stream, one for each interaction and experiment; an interaction's nodes go when its rows are made."""
+    import xml.etree.ElementTree as E
+
+    people, experiments = {}, {}
+    for event, node in E.iterparse(stream, events=("start", "end")):
+        kind = node.tag.rpartition("}")[2]
+        if event == "start":
+            if kind == "entry":
+                people, experiments = {}, {}
+        elif kind == "interactor":
+            people[node.get("id")] = _interactor(node)
+        elif kind == "experimentDescription":
+            experiments[node.get("id")] = _experiment(node)
+        elif kind == "interaction":
+            refs = [n.get("id") or (n.text or "").strip() for n in (c for x in _nodes(node, "experimentList") for c in x)]
+            for k, ref in enumerate(refs or [None]):
+                known = experiments.get(ref) or (ref and {"id": ref})
+                yield _interaction(node, people) | {"experiment_ordinal": k + 1 if refs else None, "experiment": known or None}
+            node.clear()
+
+
 def interaction_records(spark: SparkSession, path: str) -> DataFrame:
     """Interactions of molecular interaction XML, bare or as members of ZIP archives, one row for each experiment.
 
@@ -454,26 +476,6 @@ def interaction_records(spark: SparkSession, path: str) -> DataFrame:
                     with z.open(i) as stream:
                         yield stream
 
-    def records(stream):
-        import xml.etree.ElementTree as E
-
-        people, experiments = {}, {}
-        for event, node in E.iterparse(stream, events=("start", "end")):
-            kind = node.tag.rpartition("}")[2]
-            if event == "start":
-                if kind == "entry":
-                    people, experiments = {}, {}
-            elif kind == "interactor":
-                people[node.get("id")] = _interactor(node)
-            elif kind == "experimentDescription":
-                experiments[node.get("id")] = _experiment(node)
-            elif kind == "interaction":
-                refs = [n.get("id") or (n.text or "").strip() for n in (c for x in _nodes(node, "experimentList") for c in x)]
-                for k, ref in enumerate(refs or [None]):
-                    known = experiments.get(ref) or (ref and {"id": ref})
-                    yield _interaction(node, people) | {"experiment_ordinal": k + 1 if refs else None, "experiment": known or None}
-                node.clear()
-
     def work(batches):
         from itertools import batched
 
@@ -484,7 +486,7 @@ def interaction_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 for stream in streams(content.as_py()):
-                    for some in batched(records(stream), 1000):
+                    for some in batched(interaction_rows(stream), 1000):
                         yield pa.RecordBatch.from_pylist(list(some), schema=kinds)
 
     from pyspark.sql.types import StructType
