@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.durable import shared_dir
-from ..sources import archives, readers, sinks
+from ..operators.durable import durable, shared_dir
+from ..sources import archives, readers, sequences, sinks
 from .contracts import ORDERS
 from .registry import query
 from .roles import table
@@ -125,3 +125,46 @@ def sk04(spark, d):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     sinks.publish_ordered(table(spark, d, "lineitem").select(*keys), path, keys, rows_per_group=100_000)
     return sinks.positions(spark, path, keys[0]).select(*keys, "position")
+
+
+def staged_sequences(spark, d):
+    """Parts as proteins, written as FASTA and flat files and read again: (canonical, additional, flat). Some keys are left out, changed or repeated, as ``PROTEINS`` says."""
+    k, path = F.col("p_partkey"), place(spark, "proteins")
+    part = table(spark, d, "part").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("seq"))
+    head = lambda db, name, of=F.lit(""): F.concat(F.lit(f"{db}|"), name, F.lit("|E"), k, F.lit("_X "), of, F.lit("Part "), k, F.lit(" OS=x OX=9606 GN=G"), k, F.lit(" PE=1 SV=2"))
+    record = lambda db, name, seq, *of: F.struct(head(db, name, *of).alias("header"), seq.alias("sequence"))
+    own = F.concat(F.lit("P"), k)
+    canonical = part.select(F.explode(F.when(k % 83 == 7, F.array_repeat(record("sp", own, F.col("seq")), 2)).otherwise(F.array(record("sp", own, F.col("seq"))))).alias("r")).select("r.*")
+    isoform_of = F.concat(F.lit("Isoform of "), F.when(k % 101 == 8, "X").otherwise("P"), k, F.lit("-1, "))
+    additional = part.where(k % 4 == 0).select(record("sp", F.concat(F.lit("I"), k), F.concat("seq", F.lit("M")), isoform_of).alias("r")).union(part.where(k % 7 == 1).select(record("tr", F.concat(F.lit("A"), k), F.col("seq")).alias("r"))).select("r.*")
+    seq = F.when(k % 89 == 3, F.concat("seq", F.lit("A"))).otherwise(F.col("seq"))
+    flat = F.concat(F.lit("ID   E"), k, F.lit("_X   Reviewed;   "), F.length(seq), F.lit(" AA.\nAC   P"), k, F.lit(";\nGN   Name=G"), k, F.lit(";\nSQ   SEQUENCE\n     "), seq, F.lit("\n//"))
+    for name, rows in (("canonical", sinks.fasta_lines(canonical)), ("additional", sinks.fasta_lines(additional)), ("flat", part.where(k % 97 != 5).select(flat.alias("value")))):
+        rows.write.text(f"{path}/{name}")
+    stated = lambda name: sequences.stated(readers.fasta(spark, f"{path}/{name}"))
+    return stated("canonical"), stated("additional"), sequences.flat_entries(readers.flat_file(spark, f"{path}/flat"))
+
+
+PROTEINS = "WITH p AS (SELECT p_partkey AS k, upper(replace(p_name, ' ', '')) AS seq FROM part)"
+
+
+@query("sc14_sequence_faults", f"""{PROTEINS} SELECT 'P' || k AS sequence_id, 'absent_from_flat_file' AS fault FROM p WHERE k % 97 = 5 UNION ALL SELECT 'P' || k, 'sequence_mismatch' FROM p WHERE k % 89 = 3 AND k % 97 <> 5
+UNION ALL SELECT 'P' || k, 'repeated_id' FROM p WHERE k % 83 = 7 UNION ALL SELECT 'I' || k, 'missing_parent' FROM p WHERE k % 4 = 0 AND (k % 101 = 8 OR k % 97 = 5)""")
+def sc14_faults(spark, d):
+    """What FASTA and flat files disagree about, row by row."""
+    return sequences.sequence_faults(*staged_sequences(spark, d))
+
+
+@query("sc14_loaded_sequences", f"""{PROTEINS}, bad AS (SELECT 'P' || k AS id FROM p WHERE k % 97 = 5 OR k % 89 = 3 OR k % 83 = 7), r AS (
+SELECT 'P' || k AS sequence_id, 'P' || k AS uniprot_accession, CAST(NULL AS VARCHAR) AS isoform_id, 'canonical' AS sequence_view, k, seq FROM p
+UNION ALL SELECT 'I' || k, CASE WHEN k % 101 = 8 THEN 'X' ELSE 'P' END || k, 'I' || k, 'additional_isoform', k, seq || 'M' FROM p WHERE k % 4 = 0
+UNION ALL SELECT 'A' || k, 'A' || k, NULL, 'additional_non_isoform', k, seq FROM p WHERE k % 7 = 1)
+SELECT sequence_id, uniprot_accession, isoform_id, 'E' || k || '_X' AS entry_name, sequence_view <> 'additional_non_isoform' AS reviewed, sequence_view = 'canonical' AS canonical, sequence_view, CAST(9606 AS BIGINT) AS taxid, 'G' || k AS gene_names,
+CASE WHEN isoform_id IS NULL THEN '' ELSE 'Isoform of ' || uniprot_accession || '-1, ' END || 'Part ' || k AS protein_names, CAST(2 AS INTEGER) AS sequence_version, CAST(NULL AS INTEGER) AS entry_version, CAST(length(seq) AS BIGINT) AS sequence_length, seq AS sequence, sha256(seq) AS sequence_sha256 FROM r WHERE sequence_id NOT IN (SELECT id FROM bad)""")
+def sc14_loaded(spark, d):
+    """The relation after the accessions with faults that stop a load have been set aside in all three files."""
+    c, a, f = (durable(x, "staged") for x in staged_sequences(spark, d))
+    bad = durable(sequences.sequence_faults(c, a, f).where(~F.col("fault").isin(*sequences.REPORTED)).select("sequence_id").distinct(), "faults")
+    without = lambda x, key: x.join(bad.select(F.col("sequence_id").alias(key)), key, "left_anti")
+    rows = sequences.loaded_sequences(without(c, "sequence_id"), without(a, "sequence_id"), without(f, "accession"))
+    return rows.withColumns({"gene_names": F.array_join("gene_names", ","), "protein_names": F.array_join("protein_names", ",")})
