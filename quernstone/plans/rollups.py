@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.identity import degree_bin
 from ..operators import metrics as M
+from ..operators import segments as S
 from ..operators.durable import durable
 from .identities import CELLS, PART_OF, partition_of, with_cells
 from .registry import query
@@ -181,6 +182,33 @@ def al34(spark, d):
     return j.withColumn("triggered", (F.col("local") >= 0.51) & (F.col("delta") >= 0.01))
 
 
+#: The k-th of sixteen segment pairs of two vectors.
+X_SEGMENT, Y_SEGMENT = "x[16 * (k // 4) + 1:16 * (k // 4) + 16]", "y[16 * (k % 4) + 1:16 * (k % 4) + 16]"
+COSINE = "coalesce(list_inner_product({0}, {1}) / sqrt(nullif(list_inner_product({0}, {0}) * list_inner_product({1}, {1}), 0)), 0)"
+SEGMENTS = f"""v AS (SELECT 'P' || vec_id AS node, [CAST(floor(64 * x::DOUBLE) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = 64),
+m AS (SELECT cell, c.a, c.b, in_a, x.v AS x, y.v AS y FROM cells c JOIN v x ON c.a = x.node JOIN v y ON c.b = y.node),
+l AS (SELECT *, list_reverse_sort([{COSINE.format(X_SEGMENT, Y_SEGMENT)} FOR k IN range(16)]) AS s FROM m),
+t AS (SELECT cell, in_a, s[1] AS local_max, (((s[1] + s[2]) + s[3]) + s[4]) / 4 AS local_top4, {COSINE.format('x', 'y')} AS "global" FROM l)"""
+
+
+def ordered_sql(name: str) -> str:
+    return f"""g_{name} AS (SELECT cell, "{name}" AS score, sum(CASE WHEN in_a THEN 1.0::DOUBLE ELSE 0 END) AS p, sum(CASE WHEN in_a THEN 0 ELSE 1.0::DOUBLE END) AS u FROM t GROUP BY ALL),
+c_{name} AS (SELECT cell, round(sum(p * (below + u / 2)) / (sum(p) * sum(u)), 9) AS concordance FROM (SELECT *, coalesce(sum(u) OVER (PARTITION BY cell ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g_{name}) GROUP BY cell)"""
+
+
+@query("al34_segment_trigger", f"""{PAIRS}, {CELLS}, {SEGMENTS}, {ordered_sql('local_max')}, {ordered_sql('local_top4')}, {ordered_sql('global')},
+b AS (SELECT cell, 'local_max' AS score, concordance FROM c_local_max UNION ALL SELECT cell, 'local_top4', concordance FROM c_local_top4)
+SELECT cell, score, b.concordance, g.concordance AS global_concordance, round(b.concordance - g.concordance, 9) AS delta, b.concordance >= 0.51 AND round(b.concordance - g.concordance, 9) >= 0.01 AS triggered FROM b JOIN c_global g USING (cell)""")
+def al34_segments(spark, d):
+    """The trigger on scores of segments: pairs of parts whose vectors are their keys' embeddings, those that source A reports against the others."""
+    vectors = table(spark, d, "embeddings").where(F.size("embedding") == 64).select(F.concat(F.lit("P"), "vec_id").alias("node"), F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("vector"))
+    scored = durable(S.segment_scores(with_cells(positive_pairs(spark, d)).select("a", "b", "cell", "in_a"), vectors), "segment-scores")
+    unlike = S.scalar_differences(scored, vectors, 4).count()
+    if unlike:
+        raise ValueError(f"{unlike} of 100 pairs have other scores by the plain form")
+    return S.local_trigger(scored, "cell", F.col("in_a"), F.lit(1.0))
+
+
 EXPECTED = (("region", 5), ("nation", 25), ("supplier", 1))
 
 
