@@ -19,7 +19,7 @@ def segment_scores(pairs: DataFrame, endpoints: DataFrame, width: int = 16) -> D
     """
     known = endpoints.where("vector is not null")
     met = pairs.join(known.toDF("a", "__x"), "a").join(known.toDF("b", "__y"), "b")
-    others = pairs.columns
+    others = [f"c{i}" for i in range(len(pairs.columns))]  # mapInArrow takes no names with dots
 
     def work(batches):
         import numpy as np
@@ -41,8 +41,9 @@ def segment_scores(pairs: DataFrame, endpoints: DataFrame, width: int = 16) -> D
             whole = cosine((x * y).sum((1, 2)), (x * x).sum((1, 2)), (y * y).sum((1, 2)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(best[:, 0]), pa.array(top), pa.array(whole)], names=[*others, *SCORES])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), *(f"{s} double" for s in SCORES)])
-    return met.select(*(F.col(f"`{c}`") for c in others), "__x", "__y").mapInArrow(work, schema)
+    schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(others, pairs.schema.fields)), *(f"{s} double" for s in SCORES)])
+    plain = met.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(pairs.columns, others)), "__x", "__y")
+    return plain.mapInArrow(work, schema).toDF(*pairs.columns, *SCORES)
 
 
 def scalar_scores(x: Column, y: Column, segments: int, width: int = 16) -> list[Column]:
