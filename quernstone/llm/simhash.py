@@ -15,9 +15,13 @@ words are one shingle; repeated doc_ids keep a row each; null ids count as large
 an empty table gives an empty table.
 
 ``kept_documents`` takes other links too: a share of common shingles (Jaccard similarity of the sets of distinct
-shingles). Such copies are too many bits apart for a grid, so candidates come from ``BANDS`` bands of ``BAND`` least
-hashes each; a pair of similarity 0.8 meets in none of them with a probability of 5e-8, and more similar ones with less.
-Each candidate pair is verified on the whole sets of 64-bit shingle hashes.
+shingles). A set has a fingerprint of ``WORDS`` times 64 bits, each one where over half of its shingles' hashes have it.
+Candidates are fingerprints whose first 64 bits link on the grid, and such of about a quarter of the bits apart (``near_bits``):
+similarity 0.8 has an eighth to a fifth of the bits apart, too many for a grid, so these are compared where they meet in one
+of ``BANDS`` bands of ``BAND`` least hashes. A pair of similarity 0.8 meets in no band with a probability of 5e-8, and is
+further apart with one of 1e-7 at most (sets of four and five shingles; far less for larger ones); more similar ones with less.
+Components of candidates take the place of buckets then, and pairs in them are verified on the whole sets of 64-bit
+shingle hashes, which travel once for their component (twice where it has several blocks).
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SEGMENTS, HEAVY = 32, 32
 BITS = 64 // SEGMENTS
 #: Bands of least hashes and hashes in a band; members of a bucket in a block; bits of the pattern of rows to read.
 BANDS, BAND, BLOCK, FILTER = 32, 4, 256, 2**26
+#: 64-bit words of a set's fingerprint.
+WORDS = 16
 
 
 def fingerprints_of(texts: list[str]) -> np.ndarray:
@@ -232,12 +238,70 @@ def band_keys(members: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * times[:BANDS] + flip[:BANDS]).view(np.int64)
 
 
+def set_fingerprint(members: np.ndarray) -> np.ndarray:
+    """The words of a set's fingerprint: a bit is one where over half of its members' hashes have it. Empty sets have zeros."""
+    rng = np.random.default_rng(SEED + 1)
+    flip, times = rng.integers(0, 2**64, WORDS, np.uint64), rng.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+    ones, lanes = np.zeros((8, WORDS * 8), np.int64), np.arange(8, dtype=np.uint64)[:, None]
+    for at in range(0, len(members), 255):  # a byte counts so many
+        h = (members[at : at + 255, None] ^ flip) * times
+        h = (h ^ (h >> np.uint64(32))) * times
+        h ^= h >> np.uint64(29)
+        ones += (h[:, None] >> lanes & np.uint64(0x0101010101010101)).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    # Place 8 i + k of the bits is lane k of byte i.
+    return np.packbits((2 * ones > len(members)).T.ravel(), bitorder="little").view(np.uint64)
+
+
+def near_bits(share: Fraction) -> int:
+    """How many bits apart fingerprints of sets of at least that similarity are, but for 1e-7 of them.
+
+    A bit differs with arccos(cosine) / pi in large sets, and with at most sqrt(pi / 2) times that in sets of a few members.
+    """
+    p = 1.26 * np.arccos(float(2 * share / (1 + share))) / np.pi
+    return int(np.ceil(64 * WORDS * p + 5.3 * np.sqrt(64 * WORDS * p * (1 - p))))
+
+
+def near_links(most: int):
+    """Rows (bucket, row, bits) sorted by bucket -> (a, b): spanning forests of each bucket's pairs of fingerprints at most so many bits apart."""
+
+    def forest_of(held):
+        rows, bits, edges = np.concatenate([r for r, _ in held]), np.concatenate([b for _, b in held]), []
+        group = np.arange(len(rows))
+        for i in range(1, len(rows)):
+            near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most)
+            joined, first = np.unique(group[near], return_index=True)
+            edges += [(int(rows[j]), int(rows[i])) for j in near[first]]
+            group[:i][np.isin(group[:i], joined)] = i
+        return edges
+
+    def out(edges):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+
+    def work(batches):
+        place, held = None, []
+        for batch in batches:
+            edges, buckets, rows = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+            starts = np.r_[0, np.flatnonzero(np.diff(buckets)) + 1, len(buckets)].tolist() if len(buckets) else []
+            for x, y in zip(starts, starts[1:]):
+                if held and buckets[x] != place:
+                    edges += forest_of(held)
+                    held = []
+                place = buckets[x]
+                held.append((rows[x:y], bits[x:y]))
+            yield out(edges)
+        if held:
+            yield out(forest_of(held))
+
+    return work
+
+
 def lists(arrays):
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def shingle_bands(rows: DataFrame, text: str, shingle: int) -> DataFrame:
-    """row, digest of the set of shingles and band keys of rows with __row."""
+    """row, digest of the set of shingles, its band keys, its fingerprint and that one's first word, of rows with __row."""
 
     def work(batches):
         from xxhash import xxh3_128_digest
@@ -246,9 +310,11 @@ def shingle_bands(rows: DataFrame, text: str, shingle: int) -> DataFrame:
             for at, texts in slices(batch, 1):
                 sets = [shingle_set(t, shingle) for t in texts]
                 digests = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), digests, lists([band_keys(s) for s in sets])], names=["row", "digest", "bands"])
+                prints = [set_fingerprint(s) for s in sets]
+                bits, fp = pa.array([x.tobytes() for x in prints], pa.binary()), pa.array([int(x.view(np.int64)[0]) for x in prints], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), digests, lists([band_keys(s) for s in sets]), bits, fp], names=["row", "digest", "bands", "bits", "fp"])
 
-    return rows.select("__row", F.col(text).cast("string").alias("text")).mapInArrow(work, "row long, digest binary, bands array<long>")
+    return rows.select("__row", F.col(text).cast("string").alias("text")).mapInArrow(work, "row long, digest binary, bands array<long>, bits binary, fp long")
 
 
 def shingle_sets(rows: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -406,32 +472,55 @@ def links_across(asked: DataFrame, sets: DataFrame, common: DataFrame, edges: Da
     return found
 
 
+def candidates(points: DataFrame, share: Fraction) -> DataFrame:
+    """Edges (a, b) between rows: pairs of that similarity are in one component of these. points: row, bands, bits, fp."""
+    # Fingerprints whose first words are at most APART bits apart, as in near_duplicates.
+    heads = durable(points.groupBy("fp").agg(F.min("row").alias("head")), "heads")
+    end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    close = links(heads.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    equal = points.select("row", "fp").join(heads, "fp").where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b"))
+    filed = points.select("row", F.explode("bands").alias("bucket"))
+    # Buckets with the same members are one.
+    met = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"))
+    met = durable(met.where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", (F.col("n") > BLOCK).alias("crowded")), "buckets")
+    asked = durable(filed.join(met, "bucket").select("bucket", "crowded", "row"), "bucket-members")
+    bits = asked.where("not crowded").select("bucket", "row").join(points.select("row", "bits"), "row").select("bucket", "row", "bits")
+    near = bits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(near_links(near_bits(share)), "a long, b long")
+    # The members of a crowded bucket are candidates of each other.
+    crowded = asked.where("crowded").select("bucket", "row")
+    least = crowded.groupBy("bucket").agg(F.min("row").alias("a"))
+    full = crowded.join(least, "bucket").where("row <> a").select("a", F.col("row").alias("b"))
+    edges = durable(close.union(equal).union(near).union(full).distinct(), "candidates")
+    discard(heads, met, asked)
+    return edges
+
+
 def similar_roots(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """row and root of every row: rows of one root are linked by Jaccard similarities of at least that much. rows: __row, __late, __id."""
     share = Fraction(str(similarity))
     banded = durable(shingle_bands(rows, text, shingle), "shingle-bands")
     ranks = rows.select(F.col("__row").alias("row"), F.struct(F.col("__late").alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row")).alias("rank"))
     # Equal sets are one point, known by its first row.
-    points = banded.join(ranks, "row").groupBy("digest").agg(F.min("rank").alias("rank"), F.any_value("bands").alias("bands"))
+    points = banded.join(ranks, "row").groupBy("digest").agg(F.min("rank").alias("rank"), *(F.any_value(c).alias(c) for c in ("bands", "bits", "fp")))
     points = durable(points, "shingle-points").withColumn("row", F.col("rank.row"))
-    filed = points.select("row", F.explode("bands").alias("bucket"))
-    # Buckets with the same members are one.
-    met = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"))
-    met = durable(met.where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "buckets")
-    asked = durable(filed.join(met, "bucket").select("bucket", "row"), "bucket-members")
-    many = durable(met.where("blocks > 1"), "crowded-buckets")
-    block = F.pmod(F.xxhash64("row"), "blocks").alias("block")
-    wanted = durable(asked.select("row").distinct(), "wanted")
-    sets = durable(shingle_sets(rows, text, shingle, wanted), "shingle-sets")
-    # Sets meet the slim rows first, and the few crowded buckets after that.
-    dealt = asked.join(sets, "row").join(many, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).select("bucket", block, "blocks", "row", "members")
+    maybe = candidates(points, share)
+    roots = components(maybe)
+    asked = durable(roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().select(F.col("root").alias("bucket"), F.col("node").alias("row")), "asked")
+    sizes = asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    many = durable(sizes.where("blocks > 1"), "crowded-components")
+    block = lambda *salt: F.pmod(F.xxhash64("row", *salt), "blocks")
+    sets = durable(shingle_sets(rows, text, shingle, asked.select("row")), "shingle-sets")
+    # Members of crowded components are dealt twice, so that copies which the first dealing parts meet others' blocks in the second.
+    dealt = asked.join(sets, "row").join(many, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    places = F.when(F.col("blocks") > 1, F.array(block(), F.col("blocks") + block(F.lit(SEED)))).otherwise(F.array(F.lit(0).cast("long")))
+    dealt = dealt.select("bucket", F.explode(places).alias("block"), "blocks", "row", "members")
     dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "row").select("bucket", "block", "blocks", "row", "members")
     found = durable(dealt.mapInArrow(block_links(share), "a long, b long, bucket long, common array<long>"), "shingle-links")
     edges = found.where("a IS NOT NULL").select("a", "b")
     if not many.isEmpty():
-        edges = edges.union(links_across(asked.join(many, "bucket").select("bucket", block, "blocks", "row"), sets, found.where("bucket IS NOT NULL").select("bucket", "common"), edges, share))
+        edges = edges.union(links_across(asked.join(many, "bucket").select("bucket", block().alias("block"), "blocks", "row"), sets, found.where("bucket IS NOT NULL").select("bucket", "common"), edges, share))
     roots = components(edges)
-    discard(met, asked, many, wanted, sets, found)
+    discard(maybe, asked, many, sets, found)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     point = points.select("digest", F.col("row").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return banded.select("row", "digest").join(point, "digest").select("row", "root")

@@ -407,6 +407,31 @@ def test_full_buckets_lose_no_link(spark, monkeypatch):
         assert stay == {0, *(i for i, _ in more)}, fillers
 
 
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    """The grid of fingerprints finds copies that no band holds; sets of a bucket that are far apart by their fingerprints are not read."""
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    data = []
+    for k in range(20):
+        words = [word() for _ in range(1500)]
+        data += [(k, " ".join(words)), (100 + k, " ".join(words[:-1] + ["changed"]))]
+    prints = {d: simhash.set_fingerprint(simhash.shingle_set(t, 5)) for d, t in data}
+    apart = lambda x, y, n: int(np.bitwise_count(prints[x][:n] ^ prints[y][:n]).sum())
+    close = {k for k in range(20) if apart(k, 100 + k, 1) <= simhash.APART}
+    assert len(close) > 5
+    most = simhash.near_bits(simhash.Fraction("0.8"))
+    assert all(apart(k, 100 + k, None) <= most for k in range(20)) and all(apart(k, j, None) > most for k in range(20) for j in range(k))
+    df, read = spark.createDataFrame(data, "doc_id long, text string").repartition(3), []
+    monkeypatch.setattr(simhash, "band_keys", lambda members: np.zeros(0, np.int64))
+    stay = {r.doc_id for r in simhash.kept_documents(df, shingle=5, similarity=0.8).collect()}
+    assert stay == {d for d, _ in data} - {100 + k for k in close}
+    monkeypatch.setattr(simhash, "band_keys", lambda members: np.zeros(min(len(members), 1), np.int64))
+    sets = simhash.shingle_sets
+    monkeypatch.setattr(simhash, "shingle_sets", lambda rows, text, shingle, wanted: read.append(wanted.count()) or sets(rows, text, shingle, wanted))
+    assert simhash.kept_documents(df.where("doc_id < 100"), shingle=5, similarity=0.8).count() == 20 and read == [0]
+    assert simhash.kept_documents(df, shingle=5, similarity=0.8).count() == 20 and read == [0, 40]
+
+
 def test_kept_documents_keep_columns_of_any_name(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, None), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__row": F.lit("r"), "__late": F.lit("l"), "__id": F.lit("i"), "row": F.lit(1), "a.b": F.lit("dot")})
