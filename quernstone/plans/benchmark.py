@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as X
 from ..operators import metrics as M
+from ..operators.geometry import candidate_counts
 from ..operators.graph import hubs
 from ..operators.reconcile import spine
 from .identities import CELLS, with_cells
@@ -19,8 +20,7 @@ def al14(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     l = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()  # noqa: E741
     pos = l.join(l.withColumnRenamed("l_suppkey", "other"), "l_orderkey").where("l_suppkey < other").select(F.col("l_suppkey").alias("a"), F.col("other").alias("b")).distinct()
-    pairs = s.toDF("a", "na").join(s.toDF("b", "nb"), F.col("a") < F.col("b"))
-    return pairs.join(pos, ["a", "b"], "left_anti").groupBy((F.col("na") == F.col("nb")).alias("same_nation")).agg(F.count("*").alias("candidates"))
+    return candidate_counts(s, "s_suppkey", "s_nationkey", pos).withColumnRenamed("same", "same_nation")
 
 
 @query("al17_role_ledger", f"{PAIRS}, {CELLS} SELECT a, b, 'pair:' || sha256(a || '|' || b) AS pair_id, cell, CASE WHEN cell = 'quarantine' THEN 'quarantine' WHEN cell = 'C1' THEN 'training' ELSE 'evaluation' END AS role FROM cells")
