@@ -146,3 +146,32 @@ def test_footer_faults(spark, tmp_path):
     put("part-00002.parquet", [2], write_statistics=False)
     faults = {tuple(r) for r in sinks.footer_faults(sinks.footers(spark, str(tmp_path / "t"), "k"), 3).collect()}
     assert faults == {(1, 1, "order"), (2, 0, "bounds")}
+
+
+@pytest.mark.parametrize("ahead", [b"", b"some bytes before the archive"])
+def test_runs_read_their_part_of_the_directory(tmp_path, monkeypatch, ahead):
+    many = [(f"d/{k:05d}.tsv", f"a\tb\n{k}\t{k % 7}\n".encode() * (1 + k % 3)) for k in range(70_000)]  # more than a ZIP directory counts without ZIP64
+    path = tmp_path / "many.zip"
+    path.write_bytes(ahead)
+    with zipfile.ZipFile(path, "a", zipfile.ZIP_STORED) as z:
+        for name, data in many:
+            z.writestr(zipfile.ZipInfo(name), data)
+    monkeypatch.setattr(archives, "_directory", lambda z, p, whole=archives._directory: whole(z, p) if len(z.filelist) < 10_000 else pytest.fail("a whole directory was read"))
+    parts = archives.runs(str(path), 10**9, 100_000)
+    assert 10 < len(parts) < 40 and sum(p.last - p.first for p in parts) == len(many)
+    assert [(m, stream.read()) for p in parts for m, stream in archives.streams(p)] == many
+    with zipfile.ZipFile(path, "a") as z, pytest.warns(UserWarning):
+        z.writestr("d/00007.tsv", b"again")
+    with pytest.raises(ValueError, match="repeated"):
+        archives.runs(str(path), 10**9, 100_000)
+
+
+def test_small_members_share_batches(tmp_path):
+    path = str(tmp_path / "s.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for k in range(5000):
+            z.writestr(f"{k:04d}.tsv", f"a\n{k}\n")
+    run = archives.Run(path)
+    for reader, n in ((archives.MemberRows, 5000), (archives.LineRows, 10_000)):
+        got = list(reader({"path": path, "wanted": "tsv"}, None).rows(run))
+        assert len(got) <= 3 and sum(b.num_rows for b in got) == n
