@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as X
 from ..operators import metrics as M
+from ..operators.durable import durable, released
 from ..operators.geometry import candidate_counts
 from ..operators.graph import hubs
 from ..operators.reconcile import spine
@@ -98,7 +99,10 @@ def al28(spark, d):
 
 @query("al29_token_evaluation", f"{PAIRS}, {CELLS}, c AS (SELECT 'candidate:' || sha256(concat_ws(':', 'pkg', cell, 'pair:' || sha256(a || '|' || b))) AS token, cell FROM cells), s AS (SELECT 'candidate:' || sha256(concat_ws(':', 'pkg', cell, 'pair:' || sha256(a || '|' || b))) AS token, n AS score, in_a FROM cells), g AS (SELECT cell, CAST(score AS DOUBLE) AS score, sum(CASE WHEN in_a THEN 1.0::DOUBLE ELSE 0 END) AS p, sum(CASE WHEN in_a THEN 0 ELSE 1.0::DOUBLE END) AS u FROM c JOIN s USING (token) GROUP BY ALL), k AS (SELECT *, coalesce(sum(u) OVER (PARTITION BY cell ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT cell, round(sum(p * (below + u / 2)) / (sum(p) * sum(u)), 9) AS concordance FROM k GROUP BY cell")
 def al29(spark, d):
-    c = with_cells(positive_pairs(spark, d)).withColumn("token", I.opaque_token("pkg", F.col("cell"), I.pair_id(F.col("a"), F.col("b"))))
+    c = durable(with_cells(positive_pairs(spark, d)).select("a", "b", "cell", "n", "in_a"), "tokens")  # both sides read it: the pairs are found once
+    released(spark)
+    # Tokens have one prefix: their digests' 32 bytes are what the sides meet by.
+    c = c.withColumn("token", F.unhex(F.split_part(I.opaque_token("pkg", F.col("cell"), I.pair_id(F.col("a"), F.col("b"))), F.lit(":"), F.lit(2))))
     truth, predictions = c.select("token", "cell", "in_a"), c.select("token", F.col("n").cast("double").alias("score"))
     return M.concordance(truth.join(predictions, "token"), ["cell"], "score", F.col("in_a"), F.lit(1.0)).withColumn("concordance", F.round("concordance", 9))
 
